@@ -219,6 +219,26 @@ def _resolve(keys_shared: list[int], lens: list[int], payload: list[tuple], leng
         yield doc, th, pos - int(best[1, i]), pos + length - int(best[0, i])
 
 
+def _settle(entries: list[tuple[bytes, bytes, int, int, int]], length: int) -> tuple[list[tuple], list[tuple[int, int, int, int]]]:
+    """(entries to merge, spans found): of sorted entries, those alike in their whole context are repeated there.
+
+    Their spans are the widest an anchor can have, so one of them goes on, as a partner to entries of other runs.
+    """
+    kept, spans, i, reach = [], [], 0, length - GRAM
+    while i < len(entries):
+        key, left = entries[i][:2]
+        j = i + 1
+        while j < len(entries) and entries[j][0] == key and entries[j][1] == left:
+            j += 1
+        if j > i + 1 and len(key) == 8 + length and len(left) == reach:
+            spans += [(doc, th, pos - reach, pos + length) for _, _, doc, th, pos in entries[i:j]]
+            kept.append(entries[i])
+        else:
+            kept += entries[i:j]
+        i = j
+    return kept, spans
+
+
 def _cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of the union of spans."""
     out: list[list[int]] = []
@@ -237,6 +257,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, run_bytes: int = 48 << 20
        that occur twice can lie in a repeated string; the others and all text around them are never sorted.
     2. Sorted runs. Each task sorts the suffixes (up to `length` bytes, behind 8 bytes of the anchor's hash, which
        spread the ranges evenly) of its remaining anchors and writes front-coded runs, one per range of keys.
+       Entries of a run that agree in their whole context settle each other; one of them goes on.
     3. Merge. A range's runs go through a loser tree; the shared prefixes it knows anyway give the suffix order's
        segments, from which the repeated strings around each anchor follow.
     """
@@ -254,15 +275,21 @@ def repeated_spans(docs: DataFrame, length: int = 200, run_bytes: int = 48 << 20
             if got:
                 times = [len(p) for _, p, _ in got]
                 which = np.repeat([i for i, _, _ in got], times)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for _, _, h in got]).view(np.int64)), pa.array(ids[which]), pa.array(ths[which]), pa.array(np.concatenate([p for _, p, _ in got]).astype(np.int32))], names=["g", "__id", "__th", "pos"])
+                g, pos = np.concatenate([h for _, _, h in got]), np.concatenate([p for _, p, _ in got])
+                # Of an anchor that a batch holds more than once, one row goes to be counted; the others, proven
+                # already, are spread by a salt, so a very common passage does not meet in one task.
+                _, first, back, n = np.unique(g, return_index=True, return_inverse=True, return_counts=True)
+                salt = 1 + (which * 31 + pos) % 1024
+                salt[first] = 0
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(n[back] > 1), pa.array(ids[which]), pa.array(ths[which]), pa.array(pos.astype(np.int32))], names=["g", "salt", "proven", "__id", "__th", "pos"])
 
     # Texts too short for a string are out before Python sees them.
-    found = src.where(F.octet_length("text") >= length).mapInArrow(find, "g long, __id long, __th long, pos int")
+    found = src.where(F.octet_length("text") >= length).mapInArrow(find, "g long, salt int, proven boolean, __id long, __th long, pos int")
     return keyed, _spans(found, keyed, length, run_bytes, ranges)
 
 
 def _spans(found: DataFrame, keyed: DataFrame, length: int, run_bytes: int, ranges: int) -> DataFrame:
-    twice = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))).where(F.col("n") > 1)
+    twice = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g", "salt"))).where((F.col("n") > 1) | F.col("proven"))
     wanted = twice.groupBy("__id", "__th").agg(F.collect_set("pos").alias("pos"))
     # All columns go along, so that this shuffle of the texts is the one that the spans are later joined to.
     names = [c for c in keyed.columns if c not in ("__id", "__th")]
@@ -278,10 +305,13 @@ def _spans(found: DataFrame, keyed: DataFrame, length: int, run_bytes: int, rang
             nonlocal size, number, held
             for r, entries in enumerate(held):
                 entries.sort()
-                blobs = [_encode(entries[a : a + 4096]) for a in range(0, len(entries), 4096)]
-                if blobs:
-                    m = len(blobs)
-                    yield pa.RecordBatch.from_arrays([pa.array([r] * m, pa.int32()), pa.array([number] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array(blobs, pa.binary())], names=["range", "run", "seq", "blob"])
+                kept, spans = _settle(entries, length)
+                blobs = [_encode(kept[a : a + 4096]) for a in range(0, len(kept), 4096)]
+                rows = [(r, number, k, blob) for k, blob in enumerate(blobs)]
+                if spans:
+                    rows.append((-1 - r, number, 0, np.array(spans, np.int64).tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["range", "run", "seq", "blob"])
             number += 1
             size, held = 0, [[] for _ in range(ranges)]
 
@@ -310,6 +340,9 @@ def _spans(found: DataFrame, keyed: DataFrame, length: int, run_bytes: int, rang
             at, run, blobs = None, None, []
             for batch in batches:
                 for r, p, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    if r < 0:
+                        settled.append(blob)
+                        continue
                     if r != at:
                         if blobs:
                             yield blobs
@@ -321,7 +354,10 @@ def _spans(found: DataFrame, keyed: DataFrame, length: int, run_bytes: int, rang
             if blobs:
                 yield blobs
 
+        settled: list[bytes] = []
         for blobs in ranges_of():
+            while settled:
+                yield out(np.frombuffer(settled.pop(), np.int64).reshape(-1, 4).tolist())
             shared, lens, payload = [], [], []
             for n, key, p in LoserTree([_decode(b) for b in blobs]):
                 # Whole groups only: a group ends where the anchor's own bytes differ.
@@ -333,6 +369,8 @@ def _spans(found: DataFrame, keyed: DataFrame, length: int, run_bytes: int, rang
                 payload.append(p)
             if payload:
                 yield out(list(_resolve(shared, lens, payload, length)))
+        while settled:
+            yield out(np.frombuffer(settled.pop(), np.int64).reshape(-1, 4).tolist())
 
     spans = coded.select("range", "run.p", "run.run", "blob").mapInArrow(merge, "__id long, __th long, a int, b int")
     return spans.groupBy("__id", "__th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
