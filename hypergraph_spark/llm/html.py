@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hypergraph_spark.llm.common import small_batches
+from hypergraph_spark.llm.common import materialize, small_batches
 from hypergraph_spark.llm.urls import url_host
 
 # Element names of the HTML standard.
@@ -32,6 +32,9 @@ CONTENT = {"article", "main"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
+#: The hosts' lists of unimportant nodes are broadcast up to this size, joined with salted hosts beyond.
+BROADCAST_BYTES = 8 << 20
+SALTS = 64
 
 
 @dataclass
@@ -206,8 +209,17 @@ def extract_text(pages: DataFrame, least: float = 0.5, html_col: str = "html", u
     names = [c for c in pages.columns if c not in ("text", "n_chars")]
     # Only unimportant nodes are sent back, as one list a host: bounded by its templates, not by its pages.
     low = style_tree(pages, html_col, url_col).where(F.col("importance") < least).groupBy(F.col("host").alias("__host")).agg(F.collect_list("path").alias("__low"))
+    low = materialize(low, "style-tree")
+    size = low.agg(F.coalesce(F.sum(F.octet_length("__host") + F.octet_length(F.array_join("__low", ","))), F.lit(0))).first()[0]
     df = pages.select(*names, F.coalesce(url_host(F.col(url_col)), F.lit("")).alias("__h"))
-    df = df.join(low, F.col("__h") == F.col("__host"), "left").select(*names, "__low")
+    if size <= BROADCAST_BYTES:
+        df = df.join(F.broadcast(low), F.col("__h") == F.col("__host"), "left")
+    else:
+        # A host's pages are spread over SALTS tasks, its list sent to each.
+        df = df.withColumn("__salt", F.pmod(F.xxhash64(html_col, url_col), F.lit(SALTS)))
+        low = low.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        df = df.join(low, (F.col("__h") == F.col("__host")) & (F.col("__salt") == F.col("__s")), "left")
+    df = df.select(*names, "__low")
     out = df.withColumn("text", _extractor()(F.coalesce(F.col(html_col), F.lit("")), F.col("__low")))
     return out.select(*names, "text", F.length("text").cast("long").alias("n_chars"))
 
