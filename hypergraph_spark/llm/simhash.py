@@ -64,7 +64,7 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFram
 
 # --- near-duplicate removal -------------------------------------------------------------------------------------
 
-SKETCH = 128
+SKETCH = 512
 
 
 def _segments(h: np.ndarray, anchors: int, length: int = 12) -> np.ndarray:
@@ -83,7 +83,7 @@ def _segments(h: np.ndarray, anchors: int, length: int = 12) -> np.ndarray:
 
 def _bottom(h: np.ndarray) -> np.ndarray:
     """The SKETCH smallest distinct hashes, upper halves only."""
-    return np.unique(h)[:SKETCH]
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH]
 
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -96,13 +96,13 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(np.intersect1d(a, both, assume_unique=True), b, assume_unique=True)) / len(both)
 
 
-def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, anchors: int = 6, radius: int = 1, block_rows: int = 2048) -> DataFrame:
+def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, anchors: int = 8, radius: int = 1, block_rows: int = 2048) -> DataFrame:
     """(u, v): links between rows of docs (columns row BIGINT, text), texts being distinct, similar to `similarity` or more.
 
     Whole-text SimHashes at this similarity differ in up to some 18 of 64 bits, beyond what triangle bounds can
     prune; so SimHashes of passages are indexed: the vantage-point trees link passages at `radius` bits, rows that
     share a linked passage are candidates, and of those pairs within 20 bits by whole-text SimHash are verified on
-    bottom sketches of k-word shingles (exact up to 128 distinct shingles, an estimate above). Groups of candidates
+    bottom sketches of k-word shingles (exact up to 512 distinct shingles, an estimate above). Groups of candidates
     are dealt out as pairs of blocks; each block links a star per similar set.
     """
     spark = docs.sparkSession
@@ -113,7 +113,7 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, a
             rows = shingle_hashes([t.lower() for t in utf8(batch.column(1))], k)
             whole = [signed(bit_majority(h)) for h in rows]
             seg = [_segments(h, anchors).view(np.int64).tolist() for h in rows]
-            bottom = [_bottom(h).astype("<u8").tobytes() for h in rows]
+            bottom = [_bottom(h).astype("<u4").tobytes() for h in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), pa.array(seg, pa.list_(pa.int64())), pa.array(bottom, pa.binary())], names=["row", "whole", "seg", "bottom"])
 
     made = materialize(docs.select("row", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "row long, whole long, seg array<long>, bottom binary"), "near-sketch")
@@ -133,7 +133,7 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, a
     def link(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("row")
         rows, whole = group["row"].to_numpy(np.int64), group["whole"].to_numpy(np.int64).view(np.uint64)
-        sketches = [np.frombuffer(b, "<u8") for b in group["bottom"]]
+        sketches = [np.frombuffer(b, "<u4") for b in group["bottom"]]
         out, left = [], np.arange(len(rows))
         while len(left) > 1:
             root, frontier = left[-1], [left[-1]]
