@@ -290,10 +290,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, run_bytes: int = 48 << 20
 
 def _spans(found: DataFrame, keyed: DataFrame, length: int, run_bytes: int, ranges: int) -> DataFrame:
     twice = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g", "salt"))).where((F.col("n") > 1) | F.col("proven"))
-    wanted = twice.groupBy("__id", "__th").agg(F.collect_set("pos").alias("pos"))
+    wanted = twice.groupBy("__id", "__th").agg(F.collect_set("pos").alias("__pos"))
     # All columns go along, so that this shuffle of the texts is the one that the spans are later joined to.
     names = [c for c in keyed.columns if c not in ("__id", "__th")]
-    texts = keyed.join(wanted, ["__id", "__th"]).select("__id", "__th", "pos", *names)
+    texts = keyed.join(wanted, ["__id", "__th"]).select("__id", "__th", "__pos", *names)
     text_at = 3 + names.index("text")
     reach = length - GRAM
 
