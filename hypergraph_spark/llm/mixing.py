@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hypergraph_spark.llm.common import word_count
+from hypergraph_spark.llm.common import materialize, word_count
 
 #: A schedule: knots (time 0 to 1, factor >= 0) of a piecewise linear factor on a source's weight.
 Schedule = Sequence[tuple[float, float]]
 FLAT: Schedule = ((0.0, 1.0), (1.0, 1.0))
+#: Offsets of up to so many (source, bucket) pairs, some 10 MB, are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def _pieces(schedule: Schedule) -> list[tuple[float, float, float, float, float]]:
@@ -89,13 +91,14 @@ def place(df: DataFrame, names: list[str], weights: Sequence[float], total: floa
     """curriculum_mix from rows that already hold size and __order (hex text)."""
     bucket = F.conv(F.substring("__order", 1, 4), 16, 10).cast("int") * buckets / 65536
     df = df.withColumn("__bucket", F.floor(bucket).cast("int"))
-    # One row per source and bucket: what is broadcast is bounded by 256 times the number of sources, and its size is checked by the planner.
-    sums = df.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum"))
+    # One row per source and bucket, counted before it is broadcast; with very many sources rows are joined by shuffle.
+    sums = materialize(df.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum")), "mix-sums")
+    send = F.broadcast if sums.count() <= BROADCAST_ROWS else (lambda x: x)
     targets = source_targets(sums.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, total, cap)
     before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("__offset", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
     offsets = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select(F.col("o.source").alias("__source"), F.col("o.__bucket").alias("__b"), "__offset", "source_size", "target")
-    df = df.join(offsets, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b")))
+    df = df.join(send(offsets), F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b")))
     within = Window.partitionBy("source", "__bucket").orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("__mid", F.col("__offset") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2.0)
     copies = F.greatest(F.lit(0), F.ceil((F.col("target") - F.col("__mid")) / F.greatest(F.col("source_size"), F.lit(1)))).cast("int")
