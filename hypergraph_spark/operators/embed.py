@@ -81,10 +81,12 @@ def embed(
     x = initialize(graph, feature_dim, seed) if initial is None else graph.entities.select("entity_id").join(initial, "entity_id", "left")
     if initial is not None:
         x = x.select("entity_id", F.coalesce("v", F.array_repeat(F.lit(0.0), feature_dim)).alias("v"))
-    if distributed is None:
-        distributed = graph.num_entities() * feature_dim * 8 > la.LOCAL_BYTES
+    if not distributed:
+        x = x.persist()  # counted, then collected
+        distributed = x.count() * feature_dim * 8 > la.LOCAL_BYTES
     if not distributed:
         ids, m = la.to_local(x)
+        x.unpersist()
         op = la.SparseOperator(cells, ids, w)
         for it in range(num_iterations):
             new = op.dot(m)

@@ -215,9 +215,12 @@ def to_emb(spark, ids: list[str], x: np.ndarray) -> DataFrame:
 
 def to_local(emb: DataFrame) -> tuple[list[str], np.ndarray]:
     """(ids, matrix) sorted by id; refused beyond LOCAL_BYTES."""
-    n = emb.count()
-    d = len(emb.select("v").first()[0]) if n else 0
+    emb = emb.persist()
+    size = emb.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n, d = size[0], size[1] or 0
     if n * d * 8 > LOCAL_BYTES:
+        emb.unpersist()
         raise ValueError("the embedding exceeds LOCAL_BYTES")
     rows = emb.orderBy("entity_id").toArrow()
+    emb.unpersist()
     return rows.column("entity_id").to_pylist(), _matrix(rows.column("v").combine_chunks()).reshape(n, d)

@@ -35,7 +35,7 @@ def triangles(adj: DataFrame) -> DataFrame:
 
 def clustering_coefficient(graph: HyperGraph) -> DataFrame:
     """One row: the mean of 2 T / (d (d - 1)) over entities of degree 2 or more, 0 if there is none."""
-    adj = adjacency(graph)
+    adj = durable(adjacency(graph), "adj")  # read six times
     d = adj.groupBy(F.col("src").alias("entity_id")).agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= 2)
     c = d.join(triangles(adj), "entity_id", "left").select((2 * F.coalesce("triangles", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).alias("c"))
     return c.agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("clustering_coefficient"))
