@@ -249,3 +249,16 @@ def test_estimator(spark):
         e.transform(lines(spark, "zz"))
     with pytest.raises(ValueError):
         e.set_params(nope=1)
+
+
+def test_reduction_keeps_groups_apart(spark):
+    from hypergraph_spark.operators.reduce import reduce_dimensions
+
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.standard_normal((15, 6)) * 0.1 + c for c in (np.eye(6)[0] * 3, np.eye(6)[1] * 3)])
+    emb = la.to_emb(spark, [f"{i:02d}" for i in range(30)], x)
+    for method in ("pca", "tsne", "umap"):
+        _, y = la.to_local(reduce_dimensions(emb, method))
+        assert y.shape == (30, 2) and np.isfinite(y).all()
+        a, b = y[:15].mean(0), y[15:].mean(0)
+        assert np.linalg.norm(a - b) > np.linalg.norm(y[:15] - a, axis=1).mean()
