@@ -18,7 +18,7 @@ HASHES = 3
 _SALTS = np.array([0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3], np.uint64)
 
 
-def paragraph_digests(text: bytes, words: int = 16) -> np.ndarray:
+def paragraph_digests(text: bytes, words: int = 8) -> np.ndarray:
     """Distinct 64-bit digests of the text's paragraphs, each cut into runs of at most `words` words.
 
     Paragraphs are the lines that hold a word; the k-th repeat of a run in a text is hashed with k, so repeats count.
@@ -120,7 +120,7 @@ def _ranges(docs: DataFrame, id_col: str, n: int) -> list[int]:
     return [] if row is None or row["low"] is None else sorted({row["low"], *row["cuts"]})
 
 
-def version_fingerprints(docs: DataFrame, cells: int = 15, words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def version_fingerprints(docs: DataFrame, cells: int = 15, words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_digests) of every row.
 
     The fingerprint is the hex of a sketch of `cells` cells. A row's edited text has its last floor(n/2) code
