@@ -330,7 +330,9 @@ def _spans(found: DataFrame, keyed: DataFrame, length: int, run_bytes: int, rang
         yield from flush()
 
     coded = texts.mapInArrow(runs, "range int, run int, seq int, blob binary")
-    coded = coded.withColumn("run", F.struct(F.spark_partition_id().alias("p"), "run")).repartition(ranges, "range").sortWithinPartitions("range", "run", "seq")
+    coded = coded.withColumn("run", F.struct(F.spark_partition_id().alias("p"), "run"))
+    # A range is a partition of its own, without hash collisions; settled spans go with theirs.
+    coded = coded.repartitionById(ranges, F.when(F.col("range") < 0, -1 - F.col("range")).otherwise(F.col("range"))).sortWithinPartitions("range", "run", "seq")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
