@@ -146,7 +146,8 @@ def version_fingerprints(docs: DataFrame, cells: int = 15, words: int = 8, id_co
 
     # An odd tag marks a copy of a row for the range before its own.
     dealt = src.withColumn("tag", F.explode(ranges("id"))).withColumn("part", F.floor(F.col("tag") / 2).cast("int"))
-    dealt = dealt.repartition(partitions(spark), "part").sortWithinPartitions("part", "tag", "id", "text")
+    # A range is a partition of its own, without hash collisions.
+    dealt = dealt.repartitionById(len(lows), F.col("part")).sortWithinPartitions("part", "tag", "id", "text")
     schema = "id long, no_id boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_digests int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
