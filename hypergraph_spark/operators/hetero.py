@@ -17,11 +17,19 @@ class HeteroGraph:
 
     def __init__(self) -> None:
         self.edges: dict[str, tuple[str, str, DataFrame]] = {}
+        self.raw: dict[str, DataFrame] = {}
         self.features: dict[str, DataFrame] = {}
+        self.bare: set[str] = set()
+
+    def add_node_type(self, name: str, features: DataFrame | None = None) -> HeteroGraph:
+        """Register a node type; features, if any, has a row per node and then decides num_nodes."""
+        self.bare.add(name)
+        return self if features is None else self.add_features(name, features)
 
     def add_edge_type(self, name: str, src_type: str, dst_type: str, edges: DataFrame) -> HeteroGraph:
         named = edges.select(F.concat_ws("_", F.lit(src_type), F.col("src").cast("string")).alias("src"), F.concat_ws("_", F.lit(dst_type), F.col("dst").cast("string")).alias("dst"))
         self.edges[name] = (src_type, dst_type, named)
+        self.raw[name] = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
         return self
 
     def add_features(self, node_type: str, features: DataFrame) -> HeteroGraph:
@@ -30,10 +38,22 @@ class HeteroGraph:
 
     @property
     def node_types(self) -> list[str]:
-        return sorted({t for s, d, _ in self.edges.values() for t in (s, d)} | set(self.features))
+        return sorted({t for s, d, _ in self.edges.values() for t in (s, d)} | set(self.features) | self.bare)
+
+    @property
+    def edge_types(self) -> list[str]:
+        return list(self.edges)
+
+    def get_edges(self, edge_type: str) -> DataFrame:
+        """(src, dst) of an edge type, ids as they were given."""
+        if edge_type not in self.raw:
+            raise ValueError(f"unknown edge type {edge_type!r}")
+        return self.raw[edge_type]
 
     def nodes(self, node_type: str) -> DataFrame:
         parts = [e.select(F.col(c).alias("entity_id")) for s, d, e in self.edges.values() for c, t in (("src", s), ("dst", d)) if t == node_type]
+        if not parts and node_type in self.bare:
+            return next(iter(self.edges.values()))[2].select(F.col("src").alias("entity_id")).limit(0)
         if not parts:
             raise ValueError(f"unknown node type {node_type!r}")
         out = parts[0]
@@ -41,21 +61,39 @@ class HeteroGraph:
             out = out.unionByName(p)
         return out.distinct()
 
-    def num_nodes(self, node_type: str) -> int:
+    def num_nodes(self, node_type: str | None = None) -> int:
+        """Nodes of a type - rows of its features, else distinct ends of edges - or of all types."""
+        if node_type is None:
+            return sum(self.num_nodes(t) for t in self.node_types)
         return self.features[node_type].count() if node_type in self.features else self.nodes(node_type).count()
 
-    def num_edges(self, edge_type: str) -> int:
-        return self.edges[edge_type][2].count()
+    def num_edges(self, edge_type: str | None = None) -> int:
+        """Pairs of an edge type, or of all; repeats count."""
+        return sum(self.get_edges(t).count() for t in ([edge_type] if edge_type else self.edge_types))
+
+    def homogeneous_edges(self) -> DataFrame:
+        """(src, dst) of all edge types; ids are `type_id` if there is more than one node type, else as given."""
+        parts = [e for _, _, e in self.edges.values()] if len(self.node_types) > 1 else list(self.raw.values())
+        if not parts:
+            raise ValueError("the graph has no edge type")
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def summary(self) -> str:
+        rows = [f"node type {t}: {self.num_nodes(t)} nodes" for t in self.node_types]
+        rows += [f"edge type {name}: {s} -> {d}, {self.num_edges(name)} edges" for name, (s, d, _) in self.edges.items()]
+        return "\n".join([repr(self), *rows])
+
+    def __repr__(self) -> str:
+        return f"HeteroGraph(node_types={self.node_types}, edge_types={self.edge_types})"
 
     def relation_graph(self, edge_type: str, trim_n: int = 16) -> HyperGraph:
         return graph_from_lines(self.edges[edge_type][2].select(F.concat_ws(" ", "src", "dst").alias("value")), NODE, trim_n)
 
     def homogeneous(self, trim_n: int = 16) -> HyperGraph:
-        lines = None
-        for _, _, e in self.edges.values():
-            one = e.select(F.concat_ws(" ", "src", "dst").alias("value"))
-            lines = one if lines is None else lines.unionByName(one)
-        return graph_from_lines(lines, NODE, trim_n)
+        return graph_from_lines(self.homogeneous_edges().select(F.concat_ws(" ", "src", "dst").alias("value")), NODE, trim_n)
 
     def embed_per_relation(self, feature_dim: int = 256, num_iterations: int = 40, combine: str = "concat", **options) -> DataFrame:
         """One embedding per edge type, side by side (zeros where an entity lacks a type) or averaged over those present; l2 rows."""

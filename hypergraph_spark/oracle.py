@@ -66,7 +66,27 @@ def _w(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
+_HET = """he AS (SELECT 'lives' AS edge_type, 'customer_' || c_custkey AS src, 'nation_' || c_nationkey AS dst FROM customer
+UNION ALL SELECT 'lies', 'nation_' || n_nationkey, 'region_' || n_regionkey FROM nation
+UNION ALL SELECT 'buys', 'customer_' || o_custkey, 'part_' || l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+UNION ALL SELECT 'sold_by', 'part_' || l_partkey, 'supplier_' || l_suppkey FROM lineitem)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "hetero_edge_counts": _w(_HET, "SELECT edge_type, count(*) AS n FROM he GROUP BY 1"),
+    "homogeneous_edges": _w(_HET, "SELECT src, dst, count(*) AS n FROM he GROUP BY 1, 2"),
+    "legacy_persisted_entities": "SELECT 'customer__' || o_custkey AS entity_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) UNION SELECT 'part__' || l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)",
+    "legacy_train": """WITH li AS (SELECT l_orderkey AS h, l_partkey::VARCHAR AS p FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+o AS (SELECT o_orderkey AS h, o_custkey::VARCHAR AS c, n FROM orders JOIN (SELECT h AS o_orderkey, count(*) AS n FROM li GROUP BY 1) USING (o_orderkey)),
+cu AS (SELECT 'customer__' || c AS entity_id, sum(n) AS occurrence FROM o GROUP BY 1),
+pa AS (SELECT 'part__' || p AS entity_id, count(*) AS occurrence FROM li GROUP BY 1)
+SELECT relation, entity_id, occurrence::BIGINT AS occurrence, 1.0::DOUBLE AS norm2 FROM (
+SELECT 'customer__part' AS relation, * FROM cu UNION ALL SELECT 'customer__part', * FROM pa
+UNION ALL SELECT 'customer__status', * FROM cu UNION ALL SELECT 'part__status', * FROM pa)""",
+    "json_cells": "SELECT col, token, count(*) AS n FROM (SELECT 0 AS col, p_brand AS token FROM part UNION ALL SELECT 1, p_type FROM part UNION ALL SELECT 1, p_size::VARCHAR FROM part) GROUP BY 1, 2",
+    "tsv_cells": "SELECT col, token, count(*) AS n FROM (SELECT 0 AS col, p_brand AS token FROM part UNION ALL SELECT 1, unnest(string_split(p_name || ' ' || p_size, ' ')) FROM part) GROUP BY 1, 2",
+    "coo_lines": "SELECT DISTINCT least(c_custkey, c_nationkey) || ' ' || greatest(c_custkey, c_nationkey) AS value FROM customer WHERE c_acctbal > 0",
+    "nation_diameter": "SELECT least(max(n), 2)::BIGINT AS diameter FROM (SELECT count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY k)",
+    "nation_summary": _w(_NG, "SELECT n AS num_nodes, m // 2 AS num_edges, round(m / (n * (n - 1))::DOUBLE, 6) AS density, round(m / n::DOUBLE, 6) AS avg_degree, 0.0::DOUBLE AS clustering, (SELECT count(*) FROM ent WHERE entity_id LIKE 'n%') AS components FROM (SELECT count(*) AS n FROM ent), (SELECT count(*) AS m FROM adj)"),
     "basket_left_topk": _w(_B, "SELECT src, dst, w, rank FROM (SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst)::INTEGER AS rank FROM (SELECT src, dst, round(left_w + 1e-9, 6) AS w FROM g WHERE src <> dst)) WHERE rank <= 3"),
     "basket_edges": _w(_B, "SELECT src, dst, round(value, 6) AS value FROM g"),
     "basket_degrees": _w(_B, "SELECT entity_id, round(row_sum, 6) AS row_sum FROM ent"),

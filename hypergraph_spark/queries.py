@@ -16,9 +16,10 @@ from hypergraph_spark.operators import preprocess as pre
 from hypergraph_spark.operators import similarity as sim
 from hypergraph_spark.operators import stats as st
 from hypergraph_spark.operators.hetero import HeteroGraph
+from hypergraph_spark.operators.relations import persisted_entities, train_relations
 from hypergraph_spark.plans.graph import HyperGraph, adjacency, build_graph, graph_from_lines, legacy_relations
 from hypergraph_spark.sources.generators import planted_partition
-from hypergraph_spark.sources.lines import from_table, hyperedges, parse_line, remove_lines, update_lines
+from hypergraph_spark.sources.lines import from_coo, from_table, hyperedges, json_rows, parse_line, remove_lines, tsv_rows, update_lines
 from hypergraph_spark.streaming.micro_batch import windowed_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,16 +176,66 @@ def from_table_degrees(spark, d):
     return graph_from_lines(lines, NODE, 0).entities.select("entity_id", r6("row_sum").alias("row_sum"))
 
 
+LEGACY = "customer complex::part transient::status"
+
+
+def order_cells(spark, d) -> DataFrame:
+    """Customer, parts and status of every order."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("c"), "o_orderstatus")
+    p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("p"))
+    return o.join(p, "k").select(F.array(F.array("c"), F.col("p"), F.array("o_orderstatus")).alias("cells"))
+
+
 @query
 def legacy_relation_weights(spark, d):
     """All relations of customer, parts and a transient order status, per column pair."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("c"), "o_orderstatus")
-    p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("p"))
-    cells = o.join(p, "k").select(F.array(F.array("c"), F.col("p"), F.array("o_orderstatus")).alias("cells"))
-    out = legacy_relations(cells, "customer complex::part transient::status")
+    out = legacy_relations(order_cells(spark, d), LEGACY)
     return out.select("relation", "src", "dst", rt("weight").alias("weight"))
 
 
+@query
+def legacy_persisted_entities(spark, d):
+    """The entities a legacy job writes: none of the transient status."""
+    return persisted_entities(order_cells(spark, d), LEGACY)
+
+
+@query
+def legacy_train(spark, d):
+    """Occurrences and squared norms of every relation's trained rows."""
+    out = None
+    for name, x in train_relations(order_cells(spark, d), LEGACY, feature_dim=8, num_iterations=2).items():
+        one = x.select(F.lit(name).alias("relation"), "entity_id", F.col("occurrence").cast("long").alias("occurrence"), F.round(la.dot(F.col("v"), F.col("v")), 6).alias("norm2"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def token_counts(cells: DataFrame) -> DataFrame:
+    tokens = cells.select(F.posexplode("cells").alias("col", "ts")).select("col", F.explode("ts").alias("token"))
+    return tokens.groupBy("col", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def json_cells(spark, d):
+    """Tokens by column of parts written as JSON lines."""
+    p = table(spark, d, "part")
+    row = F.struct(F.col("p_brand").alias("brand"), F.array("p_type", F.col("p_size").cast("string")).alias("traits"))
+    return token_counts(json_rows(spark, p.select(F.to_json(row).alias("value")), "brand complex::traits"))
+
+
+@query
+def tsv_cells(spark, d):
+    """Tokens by column of parts written as tab-separated lines."""
+    p = table(spark, d, "part").select(F.concat_ws("\t", "p_brand", F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))).alias("value"))
+    return token_counts(tsv_rows(p, "brand complex::traits"))
+
+
+@query
+def coo_lines(spark, d):
+    """Undirected lines of the customer by nation matrix, its cells the balances over 0."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("row"), F.col("c_nationkey").cast("long").alias("col"), F.greatest(F.col("c_acctbal"), F.lit(0.0)).alias("value"))
+    return from_coo(c)
+
+
 # --- edges --------------------------------------------------------------------------------------------------------
 
 
@@ -373,6 +424,19 @@ def bfs_hops(spark, d):
     return st.bfs(adjacency(g), spark.createDataFrame([("n0",), ("n1",)], "entity_id string")).select("source", "entity_id", "hops")
 
 
+@query
+def nation_diameter(spark, d):
+    """The largest component is a star of two or more leaves, or one edge."""
+    return spark.createDataFrame([(st.diameter(nation_graph(spark, d), approx=True),)], "diameter long")
+
+
+@query
+def nation_summary(spark, d):
+    s = st.graph_summary(nation_graph(spark, d))
+    row = (s["num_nodes"], s["num_edges"], round(s["density"], 6), round(s["avg_degree"], 6), s["clustering_coefficient"] or 0.0, s["num_components"])
+    return spark.createDataFrame([row], "num_nodes long, num_edges long, density double, avg_degree double, clustering double, components long")
+
+
 @query
 def betweenness(spark, d):
     """A star's middle lies between all pairs of its leaves."""
@@ -493,6 +557,22 @@ def hetero_nodes(spark, d):
     return out
 
 
+@query
+def hetero_edge_counts(spark, d):
+    g = hetero(spark, d)
+    out = None
+    for t in g.edge_types:
+        one = g.get_edges(t).agg(F.lit(t).alias("edge_type"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def homogeneous_edges(spark, d):
+    """Edges of all types, ids named by type, with their repeats."""
+    return hetero(spark, d).homogeneous_edges().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def metapath_customer_region(spark, d):
     return hetero(spark, d).metapath_pairs(["lives", "lies"])

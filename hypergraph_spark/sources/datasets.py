@@ -22,22 +22,35 @@ SYNTHETIC = {
     "ppi_large": (56944, 818716, 121, 42),
     "yelp": (716847, 6977410, 100, 42),
 }
-#: Datasets that are files: an edge list of two columns under the given directory.
+#: Datasets that are files: edge lists whose first two columns are the ends, read from the given path.
 FILES = ("facebook", "roadnet", "livejournal", "com_orkut", "com_friendster", "reddit_hyperlink", "ogbn_products", "ogbl_citation2", "twitter", "karate_club", "dolphins", "les_miserables", "football")
 
 
+#: Of these the columns are not apart by white space: separator, and how a header line starts.
+FORMATS = {"reddit_hyperlink": ("\t", "SOURCE_SUBREDDIT"), "ogbn_products": (",", None), "ogbl_citation2": (",", None)}
+
+
 def list_datasets() -> list[str]:
     return sorted([*SYNTHETIC, *FILES])
 
 
-def read_edge_list(spark: SparkSession, path: str, sep: str = r"\s+") -> DataFrame:
-    """(src, dst) of a text file (gz too) with two columns apart by sep; `#` lines are comments."""
-    parts = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.split(F.btrim("value", F.lit(" \t\r")), sep).alias("p"))
+def read_edge_list(spark: SparkSession, path: str, sep: str = r"\s+", header: str | None = None) -> DataFrame:
+    """(src, dst) of a text file (gz too): the first two columns, apart by sep; `#` lines and lines starting with header are left out."""
+    lines = spark.read.text(path).where(~F.col("value").startswith("#"))
+    if header:
+        lines = lines.where(~F.col("value").startswith(header))
+    parts = lines.select(F.split(F.btrim("value", F.lit(" \t\r")), sep).alias("p"))
     return parts.where(F.size("p") >= 2).select(F.col("p")[0].alias("src"), F.col("p")[1].alias("dst"))
 
 
-def load_dataset(spark: SparkSession, name: str, path: str | None = None) -> dict:
-    """edges, labels (synthetic sets) and columns of a dataset; file sets need the path of a local copy."""
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(entity_id, label) of a file with one label a line, for the entities 0, 1, .. in the order of lines."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\r?\n")).alias("i", "label"))
+    return rows.select(F.col("i").cast("string").alias("entity_id"), F.btrim("label").cast("int").alias("label"))
+
+
+def load_dataset(spark: SparkSession, name: str, path: str | None = None, labels: str | None = None) -> dict:
+    """edges, labels (of synthetic sets, or read from the file `labels`) and columns of a dataset; file sets need the path of a local copy."""
     if name in SYNTHETIC:
         n, m, k, seed = SYNTHETIC[name]
         intra = 0.65 if name.startswith("amazon") else 0.6 if n > 50_000 else 0.7
@@ -45,5 +58,6 @@ def load_dataset(spark: SparkSession, name: str, path: str | None = None) -> dic
     if name in FILES:
         if path is None:
             raise ValueError(f"{name} is read from a file: pass its path")
-        return {"name": name, "edges": read_edge_list(spark, path), "columns": "complex::reflexive::node"}
+        out = {"name": name, "edges": read_edge_list(spark, path, *FORMATS.get(name, (r"\s+", None))), "columns": "complex::reflexive::node"}
+        return out | ({"labels": read_labels(spark, labels)} if labels else {})
     raise ValueError(f"unknown dataset {name!r}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,20 @@ def save_legacy_text(emb: DataFrame, path: str, counts: DataFrame | None = None)
     emb.sparkSession.createDataFrame([(f"{n} {d}",)], "value string").coalesce(1).write.text(f"{path}/header")
 
 
+def save_legacy_npy(emb: DataFrame, path: str, counts: DataFrame | None = None) -> None:
+    """One local .npy matrix, its entities as `path.entities` JSON and, with counts, `path.occurences` as .npy."""
+    ids, x = la.to_local(emb)
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "wb") as f:
+        np.save(f, x.astype(np.float32))
+    with open(f"{path}.entities", "w", encoding="utf-8") as f:
+        json.dump(ids, f, ensure_ascii=False)
+    if counts is not None:
+        of = {r["entity_id"]: r["occurrence"] for r in counts.toLocalIterator()}
+        with open(f"{path}.occurences", "wb") as f:
+            np.save(f, np.array([of[e] for e in ids], np.uint32))
+
+
 def to_networkx(edges: DataFrame, emb: DataFrame | None = None):
     """A networkx graph, if that library is installed."""
     import networkx as nx

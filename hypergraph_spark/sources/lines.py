@@ -118,6 +118,14 @@ def remove_lines(existing: DataFrame, gone: DataFrame) -> DataFrame:
     return existing.join(gone.select("value").distinct(), "value", "left_anti")
 
 
+def tsv_rows(lines: DataFrame, columns: str, line_col: str = "value") -> DataFrame:
+    """ARRAY<ARRAY<STRING>> cells of lines (legacy mode): columns apart by tabs, the tokens of complex ones by spaces."""
+    spec = parse_spec(columns, legacy=True)
+    cols = F.split(line_col, "\t", -1)
+    cells = [F.split(F.col("c")[k], " ", -1) if c.complex else F.array(F.col("c")[k]) for k, c in enumerate(spec)]
+    return lines.select(cols.alias("c")).where(F.size("c") == len(spec)).select(F.array(*cells).alias("cells"))
+
+
 def json_rows(spark: SparkSession, path_or_lines: str | DataFrame, columns: str) -> DataFrame:
     """ARRAY<ARRAY<STRING>> cells of JSON lines by column name (legacy mode): complex columns are arrays, scalars become text."""
     spec = parse_spec(columns, legacy=True)

@@ -262,3 +262,53 @@ def test_reduction_keeps_groups_apart(spark):
         assert y.shape == (30, 2) and np.isfinite(y).all()
         a, b = y[:15].mean(0), y[15:].mean(0)
         assert np.linalg.norm(a - b) > np.linalg.norm(y[:15] - a, axis=1).mean()
+
+
+def test_relations_train_and_save(spark, tmp_path):
+    from hypergraph_spark.operators.relations import save_relations, train_relations
+    from hypergraph_spark.sources.lines import tsv_rows
+
+    spec = "complex::reflexive::a b transient::c ignore::d"
+    cells = tsv_rows(lines(spark, "x y\tk\ts\t1", "x\tl\ts\t2", "short\tline"), spec)
+    got = train_relations(cells, spec, feature_dim=4, num_iterations=2)
+    assert set(got) == {"a__b", "a__c", "b__c", "a__a"}
+    rows = {n: {r["entity_id"]: r["occurrence"] for r in x.collect()} for n, x in got.items()}
+    assert set(rows["a__c"]) == {"a__x", "a__y"} and set(rows["b__c"]) == {"b__k", "b__l"}
+    # The first line has 2 * 2 products, the second one; x stands in half of the first's and in all of the second's.
+    assert rows["a__b"]["a__x"] == 3 and rows["a__b"]["b__k"] == 4
+    paths = save_relations({"a__b": got["a__b"]}, str(tmp_path / "n"), fmt="numpy")
+    x, occ = np.load(open(paths[0], "rb")), np.load(open(paths[0] + ".occurences", "rb"))
+    assert x.shape == (4, 4) and sorted(occ.tolist()) == sorted(rows["a__b"].values())
+    text = save_relations({"b__c": got["b__c"]}, str(tmp_path / "t"))[0]
+    assert spark.read.text(f"{text}/header").first()[0] == "2 4"
+    with pytest.raises(ValueError):
+        save_relations(got, str(tmp_path), fmt="other")
+
+
+def test_hetero_container(spark):
+    from hypergraph_spark.operators.hetero import HeteroGraph
+
+    pair = spark.createDataFrame([("1", "2"), ("1", "2"), ("2", "3")], "src string, dst string")
+    one = HeteroGraph().add_edge_type("knows", "p", "p", pair)
+    assert sorted(map(tuple, one.homogeneous_edges().collect())) == [("1", "2"), ("1", "2"), ("2", "3")]
+    two = HeteroGraph().add_edge_type("likes", "p", "q", pair).add_node_type("r")
+    assert ("p_1", "q_2") in set(map(tuple, two.homogeneous_edges().collect()))
+    assert two.num_nodes("p") == 2 and two.num_nodes("r") == 0 and two.num_nodes() == 4 and two.num_edges() == 3
+    assert two.edge_types == ["likes"] and "likes: p -> q, 3 edges" in two.summary()
+    with pytest.raises(ValueError):
+        two.get_edges("hates")
+
+
+def test_dataset_files_and_benchmark(spark, tmp_path):
+    from hypergraph_spark.operators.embed import embed
+    from hypergraph_spark.operators.tuning import benchmark_datasets, format_dataset_table
+    from hypergraph_spark.sources.datasets import load_dataset
+
+    (tmp_path / "e.csv").write_text("".join(f"{i},{(i + 1) % 6}\n" for i in range(6)))
+    (tmp_path / "l.csv").write_text("0\n0\n0\n1\n1\n1\n")
+    (tmp_path / "h.tsv").write_text("SOURCE_SUBREDDIT\tTARGET_SUBREDDIT\tPOST\na\tb\t1\n")
+    data = load_dataset(spark, "ogbn_products", str(tmp_path / "e.csv"), str(tmp_path / "l.csv"))
+    assert data["edges"].count() == 6 and [r["label"] for r in data["labels"].orderBy("entity_id").collect()] == [0, 0, 0, 1, 1, 1]
+    assert [tuple(r) for r in load_dataset(spark, "reddit_hyperlink", str(tmp_path / "h.tsv"))["edges"].collect()] == [("a", "b")]
+    out = benchmark_datasets(spark, ["nowhere", "facebook"], lambda g: embed(g, 4, 1), paths={"facebook": str(tmp_path / "h.tsv")})
+    assert all("error" in r for r in out.values()) and "nowhere" in format_dataset_table(out)
