@@ -14,8 +14,12 @@ def line_key(line: Column) -> Column:
 
 
 def _digest(key: Column) -> Column:
-    """128 bits of the key: two 64-bit hashes, so that chance equality stays out of reach at any size."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b"))
+    """128 bits of the key: two 64-bit hashes, so that chance equality stays out of reach at any size.
+
+    A hash of several columns seeds each column's with the one before; the literal comes first, so that the second
+    hash is the key's under another seed and not a function of the first.
+    """
+    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
