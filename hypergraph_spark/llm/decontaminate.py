@@ -148,6 +148,8 @@ def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """docs without the rows that hold a benchmark item (see find_contaminated); clean rows, null texts too, stay as they are."""
-    tagged = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), F.col("text")))
-    hits = find_contaminated(tagged, benchmark, threshold, k, ("__row",)).select("__row").distinct()
-    return tagged.join(hits, "__row", "left_anti").drop("__row")
+    # Two hashes under different seeds, so that no clean row shares a dirty one's by chance.
+    key = ("__a", "__b")
+    tagged = docs.withColumn("__a", F.xxhash64(F.col("doc_id"), F.col("text"))).withColumn("__b", F.xxhash64(F.lit(1), F.col("doc_id"), F.col("text")))
+    hits = find_contaminated(tagged, benchmark, threshold, k, key).select(*key).distinct()
+    return tagged.join(hits, list(key), "left_anti").drop(*key)

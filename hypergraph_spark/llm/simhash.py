@@ -156,20 +156,22 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     """docs with one row of each near-duplicate group: that of the smallest doc_id.
 
     Exact copies (equal texts, null as empty) collapse first, the smallest doc_id standing for them; what is left is
-    linked by near_duplicate_links. Null ids come last in a group; rows equal in id and text are one. Columns stay
+    linked by near_duplicate_links. Null ids come last in a group, ties go by a hash of the text; rows equal in id and
+    text are one. Columns stay
     as they are; an empty table gives an empty result.
     """
     names = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("__h", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b")))
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("__h", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
     # Copies combine before the shuffle, so a text that a third of the rows repeat does not meet in one task.
     first = keyed.groupBy("__h").agg(F.min("__id").alias("__id"), F.min_by(F.struct(*names), F.col("__id")).alias("r"))
-    # Rows are numbered by a hash of their text, which is theirs alone among distinct texts.
-    unique = materialize(first.select(F.col("__h.a").alias("__row"), "__id", "r.*"), "near-unique")
+    # Rows are numbered as they are written, so that a number is one text's alone; 64 bits of hash would not be. The
+    # numbers decide nothing: ties between ids go by the text's hash.
+    unique = materialize(first.select(F.monotonically_increasing_id().alias("__row"), "__h", "__id", "r.*"), "near-unique")
     links = near_duplicate_links(unique.select(F.col("__row").alias("row"), "text"), k, similarity)
     groups = connected_components(links)
-    ids = groups.join(unique.select(F.col("__row").alias("node"), "__id"), "node")
-    best = ids.groupBy("root").agg(F.min(F.struct("__id", "node")).alias("best")).select("root", F.col("best.node").alias("keep"))
+    ids = groups.join(unique.select(F.col("__row").alias("node"), "__id", "__h"), "node")
+    best = ids.groupBy("root").agg(F.min(F.struct("__id", "__h", "node")).alias("best")).select("root", F.col("best.node").alias("keep"))
     gone = ids.join(best, "root").where(F.col("node") != F.col("keep")).select(F.col("node").alias("__row"))
     return unique.join(gone, "__row", "left_anti").select(*names)
 

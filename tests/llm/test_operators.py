@@ -494,3 +494,27 @@ def test_style_trees_drop_repeated_branches(spark):
         got[r["page_id"]].append((r["text"], r["n_chars"]))
     assert got[3] == [("Own words of page 3", 19)] and got[100] == [("", 0)] * 2 and got[101] == [("Always the same strip", 21)]
     assert ht.extract_text(df.limit(0)).count() == 0
+
+
+def test_digests_have_independent_halves(spark):
+    """A chained second hash is the same function of the first for every text; a seeded one is not."""
+    from pyspark.sql import functions as F
+
+    from hypergraph_spark.llm.lines import _digest
+
+    rows = spark.range(64).select(_digest(F.col("id").cast("string")).alias("d")).select("d.a", "d.b")
+    assert rows.where(F.col("a") == F.col("b")).count() == 0
+    assert spark.range(1).select((F.xxhash64(F.lit(1), F.lit("x")) == _digest(F.lit("x"))["b"]).alias("seeded")).first()[0]
+
+
+def test_near_duplicates_among_tied_and_null_ids(spark):
+    """Near copies of one id, or of none, keep one row, the same in every run; a null id gives way to any other."""
+    from hypergraph_spark.llm.simhash import drop_near_duplicates
+
+    words = [f"w{i}" for i in range(120)]
+    near = [" ".join([*words, f"end{i}"]) for i in range(3)]
+    other = " ".join(f"v{i}" for i in range(120))
+    table = spark.createDataFrame([(None, near[0]), (None, near[1]), (7, other), (7, other + " more"), (9, near[2])], "doc_id long, text string")
+    got = [sorted(map(repr, drop_near_duplicates(table.repartition(n)).collect())) for n in (1, 3)]
+    assert got[0] == got[1] and len(got[0]) == 2
+    assert {r["doc_id"] for r in drop_near_duplicates(table).collect()} == {7, 9}
