@@ -66,7 +66,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), total
     return s.select("source", "source_size", "rank", "weight", target.alias("target"))
 
 
-def curriculum_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, cap: float = 2.0, schedules: dict[str, Schedule] | None = None, buckets: int = 256) -> DataFrame:
+def curriculum_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, cap: float = 2.0, schedules: dict[str, Schedule] | None = None, buckets: int = 256, bucket_rows: int = 50_000) -> DataFrame:
     """docs, range-sorted by their first training position, with size, source_size, target, copies, taken, positions.
 
     Every document of a source is laid once on the source's token axis, in an order fixed by the md5 of its
@@ -75,7 +75,8 @@ def curriculum_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total:
     document at most and a document is never taken more than ceil(cap) times. The k-th copy's position is the
     time at which the source's integrated schedule (`schedules`, by source; flat otherwise) demands it.
     Spans come from prefix sums in two levels - hash buckets within a source, then rows within a bucket - so a
-    source with a third of all rows is never ordered in one task. Null source is a source of its own; texts
+    source with a third of all rows is never ordered in one task. There are `buckets` a source, or as many (65,536
+    at most) as keep the largest source's at about bucket_rows rows; results do not depend on either. Null source is a source of its own; texts
     that are null or empty have size 0, span nothing and are taken as their place on the axis says, adding 0
     words. Repeated rows are ordered by their hash, ties by size. Reruns agree. An empty table gives an empty
     result. Extra columns stay; those named like the results are replaced.
@@ -84,16 +85,21 @@ def curriculum_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total:
     names = [c for c in docs.columns if c not in made]
     order = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
     df = docs.select(*names).withColumn("size", word_count(F.col("text"))).withColumn("__order", order)
-    return place(df, names, weights, total, cap, schedules, buckets)
+    return place(df, names, weights, total, cap, schedules, buckets, bucket_rows)
 
 
-def place(df: DataFrame, names: list[str], weights: Sequence[float], total: float, cap: float, schedules: dict[str, Schedule] | None, buckets: int) -> DataFrame:
+def place(df: DataFrame, names: list[str], weights: Sequence[float], total: float, cap: float, schedules: dict[str, Schedule] | None, buckets: int, bucket_rows: int) -> DataFrame:
     """curriculum_mix from rows that already hold size and __order (hex text)."""
-    bucket = F.conv(F.substring("__order", 1, 4), 16, 10).cast("int") * buckets / 65536
-    df = df.withColumn("__bucket", F.floor(bucket).cast("int"))
-    # One row per source and bucket, counted before it is broadcast; with very many sources rows are joined by shuffle.
-    sums = materialize(df.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum")), "mix-sums")
-    send = F.broadcast if sums.count() <= BROADCAST_ROWS else (lambda x: x)
+    fine = F.conv(F.substring("__order", 1, 4), 16, 10).cast("long")
+    # Counted at the finest split first, so that buckets can grow in number with the largest source.
+    found = materialize(df.groupBy("source", fine.alias("__fine")).agg(F.sum("size").alias("__sum"), F.count(F.lit(1)).alias("__n")), "mix-sums")
+    seen = found.groupBy("source").agg(F.sum("__n").alias("n")).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("sources")).first()
+    buckets = min(65536, max(buckets, -(-(seen["most"] or 0) // bucket_rows)))
+    coarse = lambda c: F.floor(c * buckets / 65536).cast("int")
+    df = df.withColumn("__bucket", coarse(fine))
+    sums = found.groupBy("source", coarse(F.col("__fine")).alias("__bucket")).agg(F.sum("__sum").alias("__sum"))
+    # One row per source and bucket, bounded before it is broadcast; where there are more, rows are joined by shuffle.
+    send = F.broadcast if seen["sources"] * buckets <= BROADCAST_ROWS else (lambda x: x)
     targets = source_targets(sums.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, total, cap)
     before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("__offset", F.coalesce(F.sum("__sum").over(before), F.lit(0)))

@@ -299,6 +299,13 @@ def test_mix_reaches_targets_and_follows_schedules(spark):
     assert {r["doc_id"]: r["taken"] for r in again} == {r["doc_id"]: r["taken"] for r in out}
 
 
+def test_mix_does_not_depend_on_buckets(spark):
+    df = docs(spark, [(i, word_salad(i, 1 + i % 9), "abc"[i % 3 % 2]) for i in range(300)] + HARD)
+    want = sorted(map(repr, curriculum_mix(df).collect()))
+    for buckets, bucket_rows in ((1, 50_000), (3, 20), (256, 1)):
+        assert sorted(map(repr, curriculum_mix(df, buckets=buckets, bucket_rows=bucket_rows).collect())) == want
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------------
 
 
