@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hypergraph_spark.llm.common import bit_majority, materialize, shingle_hashes, signed, small_batches, utf8
@@ -65,6 +66,8 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFram
 # --- near-duplicate removal -------------------------------------------------------------------------------------
 
 SKETCH = 512
+#: Pairs with a text of at most so many distinct shingles are found by prefixes of their shingles, not by passages.
+SHORT = 64
 
 
 def _segments(h: np.ndarray, anchors: int, length: int = 12) -> np.ndarray:
@@ -96,6 +99,20 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(np.intersect1d(a, both, assume_unique=True), b, assume_unique=True)) / len(both)
 
 
+def _prefixes(short: DataFrame, similarity: float) -> DataFrame:
+    """(row, class): the shingles of each row (columns row, short: its n distinct hashes) that a similar row may meet it by.
+
+    Two sets of that similarity lack at most n - ceil(similarity n) of either's shingles, so in one order of all
+    shingles they share one of the first n - ceil(similarity n) + 1 of both. The rarest come first, so that a line
+    that many texts hold brings few of them together; shingles of one row alone are left out after the cut.
+    """
+    each = short.select("row", F.size("short").alias("size"), F.explode("short").alias("class"))
+    each = materialize(each.join(each.groupBy("class").agg(F.count(F.lit(1)).alias("n")), "class"), "near-short")
+    order = F.row_number().over(Window.partitionBy("row").orderBy("n", "class"))
+    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    return each.withColumn("at", order).where((F.col("at") <= first) & (F.col("n") > 1)).select("row", "class")
+
+
 def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, anchors: int = 8, radius: int = 1, block_rows: int = 2048) -> DataFrame:
     """(u, v): links between rows of docs (columns row BIGINT, text), texts being distinct, similar to `similarity` or more.
 
@@ -104,19 +121,25 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, a
     share a linked passage are candidates, and of those pairs within 20 bits by whole-text SimHash are verified on
     bottom sketches of k-word shingles (exact up to 512 distinct shingles, an estimate above). Groups of candidates
     are dealt out as pairs of blocks; each block links a star per similar set.
+
+    A text of up to SHORT distinct shingles has too few passages for that. Its partners have at most SHORT / similarity
+    of them, and all such texts are candidates by shared prefixes, which lose no pair (see _prefixes).
     """
     spark = docs.sparkSession
     small_batches(spark)
+    most = math.floor(SHORT / similarity + 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = shingle_hashes([t.lower() for t in utf8(batch.column(1))], k)
             whole = [signed(bit_majority(h)) for h in rows]
-            seg = [_segments(h, anchors).view(np.int64).tolist() for h in rows]
+            sets = [np.unique(h) for h in rows]
+            short = [x.view(np.int64).tolist() if 0 < len(x) <= most else None for x in sets]
+            seg = [_segments(h, anchors).view(np.int64).tolist() if not 0 < len(x) <= SHORT else [] for h, x in zip(rows, sets, strict=True)]
             bottom = [_bottom(h).astype("<u4").tobytes() for h in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), pa.array(seg, pa.list_(pa.int64())), pa.array(bottom, pa.binary())], names=["row", "whole", "seg", "bottom"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), pa.array(seg, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64())), pa.array(bottom, pa.binary())], names=["row", "whole", "seg", "short", "bottom"])
 
-    made = materialize(docs.select("row", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "row long, whole long, seg array<long>, bottom binary"), "near-sketch")
+    made = materialize(docs.select("row", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "row long, whole long, seg array<long>, short array<long>, bottom binary"), "near-sketch")
     seg = made.select("row", F.explode(F.array_distinct("seg")).alias("fp"))
     distinct = materialize(seg.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "near-passages")
     linked = connected_components(link_fingerprints(distinct.select("fp"), radius))
@@ -124,11 +147,15 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, a
     size = classes.groupBy("class").agg(F.sum("n").alias("members")).where(F.col("members") > 1)
     shared = classes.join(size, "class").select("fp", "class", F.ceil(F.col("members") / block_rows).cast("int").alias("k"))
     # Row and class once, whichever passages they share.
-    cand = seg.join(shared, "fp").groupBy("class", "row").agg(F.max("k").alias("k"))
+    cand = seg.join(shared, "fp").groupBy("class", "row").agg(F.max("k").alias("k")).withColumn("by", F.lit(0))
+    brief = _prefixes(made.where(F.col("short").isNotNull()).select("row", "short"), similarity)
+    size = brief.groupBy("class").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    brief = brief.join(size.select("class", F.ceil(F.col("members") / block_rows).cast("int").alias("k")), "class")
+    cand = cand.unionByName(brief.withColumn("by", F.lit(1)))
     cand = cand.join(made.select("row", "whole", "bottom"), "row")
     own = F.pmod(F.xxhash64("row"), F.col("k")).cast("int")
     cand = cand.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cand = cand.select("class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "whole", "bottom")
+    cand = cand.select("by", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "whole", "bottom")
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("row")
@@ -149,7 +176,7 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, a
         found = np.array(out, np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
-    return cand.groupBy("class", "i", "j").applyInPandas(link, "u long, v long")
+    return cand.groupBy("by", "class", "i", "j").applyInPandas(link, "u long, v long")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

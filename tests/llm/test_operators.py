@@ -525,3 +525,32 @@ def test_near_duplicates_among_tied_and_null_ids(spark):
     got = [sorted(map(repr, drop_near_duplicates(table.repartition(n)).collect())) for n in (1, 3)]
     assert got[0] == got[1] and len(got[0]) == 2
     assert {r["doc_id"] for r in drop_near_duplicates(table).collect()} == {7, 9}
+
+
+def distinct_similarity(a, b, k=5):
+    """Exact Jaccard similarity of two texts' distinct k-word shingles."""
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def kept_of_pairs(spark, pairs):
+    """Numbers of the pairs of texts of which drop_near_duplicates keeps one."""
+    rows = [(2 * i + j, t, "a") for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    kept = {r["doc_id"] for r in drop_near_duplicates(docs(spark, rows)).collect()}
+    assert {2 * i for i in range(len(pairs))} <= kept
+    return {i for i in range(len(pairs)) if 2 * i + 1 not in kept}
+
+
+def test_near_duplicates_among_short_texts(spark):
+    """One-word edits of texts of 5 to 20 words go exactly if the distinct shingles are similar enough."""
+    pairs = []
+    for n in range(5, 21):
+        for copy in range(4):
+            w = [f"t{n}x{copy}x{i}" for i in range(n)]
+            pairs.append((" ".join(w), " ".join([*w, "added"])))
+            w = [f"u{n}x{copy}x{i}" for i in range(n)]
+            pairs.append((" ".join(w), " ".join([*w[:-1], "last"])))
+            w = [f"v{n}x{copy}x{i}" for i in range(n)]
+            pairs.append((" ".join(w), " ".join([*w[: n // 2], "mid", *w[n // 2 + 1 :]])))
+    want = {i for i, (a, b) in enumerate(pairs) if distinct_similarity(a, b) >= 0.8}
+    assert len(want) > 40 and kept_of_pairs(spark, pairs) == want
