@@ -99,6 +99,28 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(np.intersect1d(a, both, assume_unique=True), b, assume_unique=True)) / len(both)
 
 
+def _bitmaps(sketches: list[np.ndarray], words: int = 16) -> np.ndarray:
+    """A row of 64 * words bits a sketch, those of its hashes set."""
+    out = np.zeros((len(sketches), 64 * words), np.uint8)
+    for i, x in enumerate(sketches):
+        out[i, x % np.uint32(64 * words)] = 1
+    return np.packbits(out, axis=1, bitorder="little").view("<u8")
+
+
+def _possible(a: int, others: np.ndarray, size: np.ndarray, held: np.ndarray, maps: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the others may be similar to a: bounds that rule out no pair, given distinct shingles (size) and sketches.
+
+    Of two sets the smaller has `similarity` of the larger at least. Of two sketches, which hold at most what their
+    union's holds, one lacks at most its size less `similarity` of the larger; a bit set in one bitmap only is a hash
+    of one sketch only.
+    """
+    near = np.minimum(size[others], size[a]) >= similarity * np.maximum(size[others], size[a]) - 1e-9
+    at = others[near]
+    shared = similarity * np.maximum(held[at], held[a]) - 1e-9
+    near[near] = (np.bitwise_count(maps[a] & ~maps[at]).sum(axis=1) <= held[a] - shared) & (np.bitwise_count(maps[at] & ~maps[a]).sum(axis=1) <= held[at] - shared)
+    return near
+
+
 def _prefixes(short: DataFrame, similarity: float) -> DataFrame:
     """(row, class): the shingles of each row (columns row, short: its n distinct hashes) that a similar row may meet it by.
 
@@ -117,9 +139,10 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, a
     """(u, v): links between rows of docs (columns row BIGINT, text), texts being distinct, similar to `similarity` or more.
 
     Whole-text SimHashes at this similarity differ in up to some 18 of 64 bits, beyond what triangle bounds can
-    prune; so SimHashes of passages are indexed: the vantage-point trees link passages at `radius` bits, rows that
-    share a linked passage are candidates, and of those pairs within 20 bits by whole-text SimHash are verified on
-    bottom sketches of k-word shingles (exact up to 512 distinct shingles, an estimate above). Groups of candidates
+    prune, and in more where lines repeat; so SimHashes of passages are indexed: the vantage-point trees link passages
+    at `radius` bits, rows that share a linked passage are candidates, and of those, pairs that sizes and bitmaps do
+    not rule out (see _possible) are verified on bottom sketches of
+    k-word shingles (exact up to 512 distinct shingles, an estimate above). Groups of candidates
     are dealt out as pairs of blocks; each block links a star per similar set.
 
     A text of up to SHORT distinct shingles has too few passages for that. Its partners have at most SHORT / similarity
@@ -132,14 +155,14 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, a
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = shingle_hashes([t.lower() for t in utf8(batch.column(1))], k)
-            whole = [signed(bit_majority(h)) for h in rows]
             sets = [np.unique(h) for h in rows]
+            size = [len(x) for x in sets]
             short = [x.view(np.int64).tolist() if 0 < len(x) <= most else None for x in sets]
             seg = [_segments(h, anchors).view(np.int64).tolist() if not 0 < len(x) <= SHORT else [] for h, x in zip(rows, sets, strict=True)]
             bottom = [_bottom(h).astype("<u4").tobytes() for h in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), pa.array(seg, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64())), pa.array(bottom, pa.binary())], names=["row", "whole", "seg", "short", "bottom"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(seg, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64())), pa.array(bottom, pa.binary())], names=["row", "size", "seg", "short", "bottom"])
 
-    made = materialize(docs.select("row", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "row long, whole long, seg array<long>, short array<long>, bottom binary"), "near-sketch")
+    made = materialize(docs.select("row", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "row long, size long, seg array<long>, short array<long>, bottom binary"), "near-sketch")
     seg = made.select("row", F.explode(F.array_distinct("seg")).alias("fp"))
     distinct = materialize(seg.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "near-passages")
     linked = connected_components(link_fingerprints(distinct.select("fp"), radius))
@@ -152,22 +175,23 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, a
     size = brief.groupBy("class").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
     brief = brief.join(size.select("class", F.ceil(F.col("members") / block_rows).cast("int").alias("k")), "class")
     cand = cand.unionByName(brief.withColumn("by", F.lit(1)))
-    cand = cand.join(made.select("row", "whole", "bottom"), "row")
+    cand = cand.join(made.select("row", "size", "bottom"), "row")
     own = F.pmod(F.xxhash64("row"), F.col("k")).cast("int")
     cand = cand.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cand = cand.select("by", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "whole", "bottom")
+    cand = cand.select("by", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "size", "bottom")
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("row")
-        rows, whole = group["row"].to_numpy(np.int64), group["whole"].to_numpy(np.int64).view(np.uint64)
+        rows, size = group["row"].to_numpy(np.int64), group["size"].to_numpy(np.int64)
         sketches = [np.frombuffer(b, "<u4") for b in group["bottom"]]
+        held, maps = np.fromiter(map(len, sketches), np.int64, len(sketches)), _bitmaps(sketches)
         out, left = [], np.arange(len(rows))
         while len(left) > 1:
             root, frontier = left[-1], [left[-1]]
             left = left[:-1]
             while frontier and len(left):
                 a = frontier.pop()
-                near = left[np.bitwise_count(whole[left] ^ whole[a]) <= 20]
+                near = left[_possible(a, left, size, held, maps, similarity)]
                 got = [b for b in near.tolist() if sketch_similarity(sketches[a], sketches[b]) >= similarity]
                 if got:
                     out += [(rows[root], rows[b]) for b in got]

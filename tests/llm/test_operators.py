@@ -554,3 +554,13 @@ def test_near_duplicates_among_short_texts(spark):
             pairs.append((" ".join(w), " ".join([*w[: n // 2], "mid", *w[n // 2 + 1 :]])))
     want = {i for i, (a, b) in enumerate(pairs) if distinct_similarity(a, b) >= 0.8}
     assert len(want) > 40 and kept_of_pairs(spark, pairs) == want
+
+
+def test_near_duplicates_with_a_repeated_line(spark):
+    """A line repeated many times changes few distinct shingles, so the pair is one."""
+    pairs = []
+    for i, (n, times) in enumerate([(300, 10), (300, 20), (300, 100), (1000, 50)] * 5):
+        text = word_salad(7000 + i, n, 100_000)
+        pairs.append((text, "\n".join([text, *[word_salad(8000 + i, 10, 100_000)] * times])))
+    assert min(distinct_similarity(a, b) for a, b in pairs) > 0.9
+    assert kept_of_pairs(spark, pairs) == set(range(len(pairs)))
