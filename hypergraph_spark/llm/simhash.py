@@ -66,6 +66,8 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFram
 # --- near-duplicate removal -------------------------------------------------------------------------------------
 
 SKETCH = 512
+#: Estimates this near the similarity, over four deviations of one, do not settle a pair.
+UNSURE = 0.08
 #: Pairs with a text of at most so many distinct shingles are found by prefixes of their shingles, not by passages.
 SHORT = 64
 
@@ -142,8 +144,8 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, a
     prune, and in more where lines repeat; so SimHashes of passages are indexed: the vantage-point trees link passages
     at `radius` bits, rows that share a linked passage are candidates, and of those, pairs that sizes and bitmaps do
     not rule out (see _possible) are verified on bottom sketches of
-    k-word shingles (exact up to 512 distinct shingles, an estimate above). Groups of candidates
-    are dealt out as pairs of blocks; each block links a star per similar set.
+    k-word shingles (exact under 512 distinct shingles, an estimate above). Pairs whose estimate is within UNSURE of
+    the similarity are verified on all distinct shingles of both texts. Groups of candidates are dealt out as pairs of blocks; each block links a star per similar set.
 
     A text of up to SHORT distinct shingles has too few passages for that. Its partners have at most SHORT / similarity
     of them, and all such texts are candidates by shared prefixes, which lose no pair (see _prefixes).
@@ -185,22 +187,50 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, a
         rows, size = group["row"].to_numpy(np.int64), group["size"].to_numpy(np.int64)
         sketches = [np.frombuffer(b, "<u4") for b in group["bottom"]]
         held, maps = np.fromiter(map(len, sketches), np.int64, len(sketches)), _bitmaps(sketches)
-        out, left = [], np.arange(len(rows))
+        out, unsure, left, star = [], [], np.arange(len(rows)), np.arange(len(rows))
         while len(left) > 1:
             root, frontier = left[-1], [left[-1]]
             left = left[:-1]
             while frontier and len(left):
                 a = frontier.pop()
                 near = left[_possible(a, left, size, held, maps, similarity)]
-                got = [b for b in near.tolist() if sketch_similarity(sketches[a], sketches[b]) >= similarity]
+                got = []
+                for b in near.tolist():
+                    found = sketch_similarity(sketches[a], sketches[b])
+                    margin = UNSURE if max(held[a], held[b]) >= SKETCH else 0
+                    if found >= similarity + margin:
+                        got.append(b)
+                    elif margin and found >= similarity - margin:
+                        unsure.append((a, b))
                 if got:
-                    out += [(rows[root], rows[b]) for b in got]
+                    out += [(rows[root], rows[b], True) for b in got]
+                    star[got] = root
                     frontier += got
                     left = left[~np.isin(left, got)]
-        found = np.array(out, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
+        # What other members link needs no verification.
+        out += [(min(rows[a], rows[b]), max(rows[a], rows[b]), False) for a, b in unsure if star[a] != star[b]]
+        return pd.DataFrame(out, columns=["u", "v", "sure"]).astype({"u": "int64", "v": "int64", "sure": "bool"})
 
-    return cand.groupBy("by", "class", "i", "j").applyInPandas(link, "u long, v long")
+    found = materialize(cand.groupBy("by", "class", "i", "j").applyInPandas(link, "u long, v long, sure boolean"), "near-links")
+    verified = _similar_pairs(found.where(~F.col("sure")).select("u", "v").distinct(), docs, k, similarity)
+    return found.where("sure").select("u", "v").unionByName(verified)
+
+
+def _similar_pairs(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of rows of docs whose distinct k-word shingles are similar to `similarity` or more."""
+    text = docs.select("row", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    both = pairs.join(text.select(F.col("row").alias("u"), F.col("text").alias("a")), "u").join(text.select(F.col("row").alias("v"), F.col("text").alias("b")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
+                x, y = (np.unique(h) for h in shingle_hashes([a.lower(), b.lower()], k))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["u", "v"])
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
