@@ -166,29 +166,32 @@ def _digest(text: str) -> int:
 def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """The merged style trees: (host, path, pages, texts, importance) of every style node that holds text.
 
-    A style node is a path of element labels (tag, class, id, role) below a host. Its importance is the entropy of
-    its contents over the pages that show it, to the base of their number: 1 where every page differs, 0 where all
-    are alike; a node seen on one page has importance 1. Counts are pre-aggregated by content, so a host with a
-    third of all pages is spread by node and content.
+    A style node is a path of element labels (tag, class, id, role) below a host, inside or outside an article. Its
+    importance is the entropy of its contents over the distinct pages that show it, to the base of their number: 1
+    where every page differs, 0 where all are alike; a node seen on one page has importance 1. Pages of a host whose
+    blocks are all alike are one page, so that copies do not make each other's text unimportant. Counts are
+    pre-aggregated by content, so a host with a third of all pages is spread by page, then by node and content.
     """
     small_batches(pages.sparkSession)
     src = pages.select(F.coalesce(url_host(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple[str, str, int], int] = {}
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            hosts = batch.column(0).to_pylist()
+            made, nodes = [], []
+            for page in batch.column(1).to_pylist():
                 own: dict[str, list[str]] = {}
                 for path, text, ancestors in blocks(parse(page)):
-                    if not any(x.tag in CONTENT for x in ancestors) and not _is_chrome(ancestors):
+                    if not _is_chrome(ancestors):
                         own.setdefault(path, []).append(text)
-                for path, texts in own.items():
-                    key = (host, path, _digest("\n".join(texts)))
-                    counts[key] = counts.get(key, 0) + 1
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array([counts[k] for k in keys], pa.int64())], names=["host", "path", "content", "n"])
-
-    each = src.mapInArrow(run, "host string, path string, content long, n long").groupBy("host", "path", "content").agg(F.sum("n").alias("n"))
+                nodes.append([{"path": path, "content": _digest("\n".join(texts))} for path, texts in own.items()])
+                made.append(_digest("\n".join(f"{x['path']}\t{x['content']}" for x in nodes[-1])))
+            kind = pa.list_(pa.struct([("path", pa.string()), ("content", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(made, pa.int64()), pa.array(nodes, kind)], names=["host", "page", "nodes"])
+
+    seen = src.mapInArrow(run, "host string, page long, nodes array<struct<path: string, content: long>>")
+    seen = seen.groupBy("host", "page").agg(F.first("nodes").alias("nodes")).select("host", F.explode("nodes").alias("x"))
+    each = seen.select("host", "x.path", "x.content").groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"))
     merged = each.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("texts"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     # -sum p log p with p = n / pages, to the base of pages.
     entropy = (F.log("pages") - F.col("nlogn") / F.col("pages")) / F.log("pages")
@@ -199,9 +202,9 @@ def extract_text(pages: DataFrame, least: float = 0.5, html_col: str = "html", u
     """pages with text (the main text, empty if none) and n_chars (its code points).
 
     Blocks named as menus, headers, footers, sidebars, notices, adverts, forms or comments go by element, class, id
-    or role. If the page marks an article (`article`, else `main`), the rest inside it is the text; otherwise blocks
-    whose style node in the host's merged tree is less important than `least` go too, as do blocks made of links
-    only. White space folds to one space inside a block; blocks are joined by \\n in page order. A null page is
+    or role, and so do blocks whose style node in the host's merged tree is less important than `least`. If the page
+    marks an article (`article`, else `main`) with other blocks, those inside it are the text; otherwise blocks made of
+    links only go too. White space folds to one space inside a block; blocks are joined by \\n in page order. A null page is
     empty; a null url has the host ''. Repeated rows stay; extra columns too (text and n_chars are replaced); an
     empty table gives an empty result.
     """
@@ -226,12 +229,12 @@ def extract_text(pages: DataFrame, least: float = 0.5, html_col: str = "html", u
 
 def main_text(page: str, low: set[str]) -> str:
     """The page's main text, given the unimportant style paths of its host."""
-    found = [(path, text, up) for path, text, up in blocks(parse(page)) if not _is_chrome(up)]
+    found = [(path, text, up) for path, text, up in blocks(parse(page)) if path not in low and not _is_chrome(up)]
     for tag in ("article", "main"):
         inside = [text for _, text, up in found if any(x.tag == tag for x in up)]
         if inside:
             return "\n".join(inside)
-    return "\n".join(text for path, text, up in found if path not in low and not _links_only(up[-1] if up else None, text))
+    return "\n".join(text for _, text, up in found if not _links_only(up[-1] if up else None, text))
 
 
 def _links_only(node: Node | None, text: str) -> bool:

@@ -575,3 +575,10 @@ def test_near_duplicates_of_long_texts_are_exact(spark):
         pairs.append((" ".join(w), " ".join([*w[: -(218 + 7 * (i % 2))], *[f"r{i}x{j}" for j in range(218 + 7 * (i % 2))]])))
     want = {i for i, (a, b) in enumerate(pairs) if distinct_similarity(a, b) >= 0.8}
     assert want == set(range(0, 120, 2)) and kept_of_pairs(spark, pairs) == want
+
+
+def test_style_trees_decide_inside_articles_and_keep_copies(spark):
+    rows = [(i, "http://a.example/x", f"<article><p>Own words of page {i}</p><div class='box'>The same offer</div></article>") for i in range(8)]
+    rows += [(10 + i, "http://b.example/x", "<body><div><p>Text of a copied page</p></div></body>") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in ht.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own words of page {i}" for i in range(8)} | {10: "Text of a copied page", 11: "Text of a copied page"}
