@@ -204,6 +204,7 @@ UNION ALL SELECT 'supplier', count(*) FROM (SELECT DISTINCT l_suppkey FROM linei
         "SELECT src, dst, round(w, 6) AS w FROM w WHERE w > 0",
     ),
     "document_tokens": _w("d AS (SELECT row_number() OVER () AS h, string_split(split_part(coalesce(text, ''), chr(10), 1), ' ') AS t FROM documents), inc AS (SELECT h, unnest(t) AS e FROM d), sz AS (SELECT h, count(*) AS n FROM inc GROUP BY h)", "SELECT e AS entity_id, round(sum(2.0::DOUBLE / n), 6) AS row_sum FROM inc JOIN sz USING (h) GROUP BY 1"),
+    "document_tokens_whole": _w("d AS (SELECT row_number() OVER () AS h, string_split(replace(coalesce(text, ''), chr(10), ' '), ' ') AS t FROM documents), inc AS (SELECT h, unnest(t) AS e FROM d), sz AS (SELECT h, count(*) AS n FROM inc GROUP BY h)", "SELECT e AS entity_id, round(sum(2.0::DOUBLE / n), 6) AS row_sum FROM inc JOIN sz USING (h) GROUP BY 1"),
     "page_links": _w(_two("SELECT page_id AS h, regexp_extract(url, '://([^/?#]*)', 1) AS e FROM pages WHERE len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) > 0", "SELECT page_id AS h, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS e FROM pages"), "SELECT src, dst, round(left_w + 1e-9, 6) AS left_w FROM g"),
     "windowed_graph_daily": "SELECT date_trunc('day', ts) AS window_start, user_id::VARCHAR AS src, event_type AS dst, count(*) AS n FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2, 3",
     "file_hyperedges": "SELECT 'c' || o_custkey AS a, len(string_split(o_orderstatus || ' ' || o_orderpriority, ' '))::INTEGER AS n FROM orders",

@@ -604,6 +604,13 @@ def document_tokens(spark, d):
     return build_graph(t.select("a", F.col("a").alias("b")), "complex::reflexive::token", 0).entities.select("entity_id", r6("row_sum").alias("row_sum"))
 
 
+@query
+def document_tokens_whole(spark, d):
+    """Degrees of the hypergraph whose hyperedges are whole documents, all lines."""
+    t = table(spark, d, "documents").select(F.split(F.coalesce("text", F.lit("")), "[ \n]", -1).alias("a"))
+    return build_graph(t.select("a", F.col("a").alias("b")), "complex::reflexive::token", 0).entities.select("entity_id", r6("row_sum").alias("row_sum"))
+
+
 @query
 def page_links(spark, d):
     """Links from hosts to paths, with their left weights."""

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from hypergraph_spark import queries
 from hypergraph_spark.functions.hashing import init_matrix, init_vector
 from hypergraph_spark.operators import algorithms as alg
 from hypergraph_spark.operators import community as com
@@ -312,3 +313,8 @@ def test_dataset_files_and_benchmark(spark, tmp_path):
     assert [tuple(r) for r in load_dataset(spark, "reddit_hyperlink", str(tmp_path / "h.tsv"))["edges"].collect()] == [("a", "b")]
     out = benchmark_datasets(spark, ["nowhere", "facebook"], lambda g: embed(g, 4, 1), paths={"facebook": str(tmp_path / "h.tsv")})
     assert all("error" in r for r in out.values()) and "nowhere" in format_dataset_table(out)
+
+
+def test_document_tokens_of_all_lines(spark, tmp_path):
+    spark.createDataFrame([("a b\nc d\n",), (None,)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r[0]: r[1] for r in queries.document_tokens_whole(spark, str(tmp_path)).collect()} == {"a": 0.4, "b": 0.4, "c": 0.4, "d": 0.4, "": 2.4}
