@@ -97,7 +97,7 @@ def diameter(graph: HyperGraph, approx: bool = False, most_nodes: int = 50_000)
     return bfs(adj, nodes).agg(F.max("hops")).first()[0]
 
 
-def betweenness_centrality(graph: HyperGraph, top_k: int = 10, batch: int = 256, most_nodes: int = 50_000) -> DataFrame:
+def betweenness_centrality(graph: HyperGraph, top_k: int | None = 10, batch: int = 256, most_nodes: int = 50_000) -> DataFrame:
     """(entity_id, betweenness): exact, unnormalised, pairs counted once; sources go through in batches of joins."""
     adj = durable(adjacency(graph), "adj")
     names = [r[0] for r in graph.entities.select("entity_id").orderBy("entity_id").limit(most_nodes + 1).collect()]
@@ -128,7 +128,7 @@ def betweenness_centrality(graph: HyperGraph, top_k: int = 10, batch: int = 256,
         total = spark.createDataFrame([], "s string, v string, delta double")
     summed = total.groupBy(F.col("v").alias("entity_id")).agg((F.sum("delta") / 2).alias("betweenness"))
     out = graph.entities.select("entity_id").join(summed, "entity_id", "left").select("entity_id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
-    return out.orderBy(F.desc("betweenness"), "entity_id").limit(top_k)
+    return out if top_k is None else out.orderBy(F.desc("betweenness"), "entity_id").limit(top_k)
 
 
 def pagerank(graph: HyperGraph, top_k: int | None = 10, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:

@@ -138,6 +138,7 @@ SELECT relation, src, dst, round(v / sum(v) OVER (PARTITION BY relation, src) +
     "l1_rows": _w(_U, "SELECT entity_id, dim::INTEGER AS dim, round(x / greatest(sum(abs(x)) OVER (PARTITION BY entity_id), 1e-10), 6) AS x FROM vl"),
     "rmse_of_round": _w(", ".join([_UE, _INIT, _step("x0", "x1")]), "SELECT round(sqrt(avg((x0.x - x1.x) * (x0.x - x1.x))), 6) AS rmse FROM x0 JOIN x1 USING (entity_id, dim)"),
     "covariance": _w(_U, "SELECT a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(covar_samp(a.x, b.x), 6) + 0.0::DOUBLE AS c FROM vl a JOIN vl b USING (entity_id) WHERE a.dim < 8 AND b.dim < 8 GROUP BY 1, 2"),
+    "covariance_whole": _w(_U, "SELECT a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(covar_samp(a.x, b.x), 6) + 0.0::DOUBLE AS c FROM vl a JOIN vl b USING (entity_id) GROUP BY 1, 2"),
     "knn_topk": _w(_UN, "SELECT source, target, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, target)::INTEGER AS rank FROM (SELECT a.entity_id AS source, b.entity_id AS target, sum(a.x * b.x) AS s FROM un a JOIN un b USING (dim) WHERE a.entity_id::BIGINT % 50 = 0 AND a.entity_id <> b.entity_id GROUP BY 1, 2)) WHERE rank <= 5"),
     "most_similar": _w(_UN, "SELECT b.entity_id, round(sum(a.x * b.x), 6) AS similarity FROM un a JOIN un b USING (dim) WHERE a.entity_id = '7' AND b.entity_id <> '7' GROUP BY 1 ORDER BY sum(a.x * b.x) DESC, 1 LIMIT 10"),
     "ann_brute": _w(_UN, "SELECT b.entity_id, round(sum(a.x * b.x), 6) AS similarity FROM un a JOIN un b USING (dim) WHERE a.entity_id = '3' AND b.entity_id <> '3' GROUP BY 1 ORDER BY sum(a.x * b.x) DESC, 1 LIMIT 10"),

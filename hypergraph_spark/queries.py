@@ -348,12 +348,22 @@ def rmse_of_round(spark, d):
     return spark.range(1).select(r6(F.lit(la.rmse(a, b))).alias("rmse"))
 
 
-@query
-def covariance(spark, d):
+def covariances(spark, d, most: int | None = None) -> DataFrame:
     n, s, g = la.gram(vectors(spark, d))
     cov = (g - n * (s / n)[:, None] * (s / n)[None, :]) / (n - 1)
-    rows = [(i, j, round(float(cov[i, j]), 6) + 0.0) for i in range(8) for j in range(8)]
-    return spark.createDataFrame(rows, "i int, j int, c double")
+    dims = range(len(cov) if most is None else most)
+    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 6) + 0.0) for i in dims for j in dims], "i int, j int, c double")
+
+
+@query
+def covariance(spark, d):
+    """The corner of the first 8 dimensions; covariance_whole has all."""
+    return covariances(spark, d, 8)
+
+
+@query
+def covariance_whole(spark, d):
+    return covariances(spark, d)
 
 
 # --- similarity ---------------------------------------------------------------------------------------------------
@@ -440,7 +450,7 @@ def nation_summary(spark, d):
 @query
 def betweenness(spark, d):
     """A star's middle lies between all pairs of its leaves."""
-    return st.betweenness_centrality(graph_from_lines(supplier_lines(spark, d), NODE, 0), top_k=1000).select("entity_id", r6("betweenness").alias("betweenness"))
+    return st.betweenness_centrality(graph_from_lines(supplier_lines(spark, d), NODE, 0), top_k=None).select("entity_id", r6("betweenness").alias("betweenness"))
 
 
 # --- communities, labels, metrics ---------------------------------------------------------------------------------
