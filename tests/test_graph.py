@@ -327,3 +327,13 @@ def test_betweenness_and_covariance_are_whole(spark, tmp_path):
     got = {(r["i"], r["j"]): r["c"] for r in queries.covariance_whole(spark, str(tmp_path)).collect()}
     want = np.cov([[i * j % 7 for i in range(9)] for j in range(12)])
     assert len(got) == 144 and all(got[i, j] == pytest.approx(want[i, j], abs=1e-5) for i, j in got)
+
+
+def test_equal_vectors_tie_by_target_in_any_order(spark):
+    rng = np.random.default_rng(3)
+    ids = [f"{i:03d}" for i in range(60)]
+    x = np.array([[1.0, 2.0, 0.5]] * 60)
+    for at in (np.arange(60)[::-1], rng.permutation(60)):
+        emb = la.to_emb(spark, [ids[i] for i in at], x).coalesce(1)
+        got = sim.similar_by_blocks(emb.where("entity_id = '059'"), emb, 5).orderBy("rank").collect()
+        assert [r["target"] for r in got] == ids[:5]
