@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,13 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only where it names none, one beside the warehouse."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Only a local master, which has no other machine, may go without: a folder beside the warehouse then."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
@@ -41,10 +45,27 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows, as single texts may be long; workers slice them further by bytes."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches of few rows, as single texts may be long; workers slice them further by bytes.
+
+    Spark reads the setting when a result is computed, so it stays lowered for lazily returned results.
+    """
+    if int(spark.conf.get(ARROW_ROWS)) > rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """small_batches for what is computed inside the block; the session's setting comes back after it."""
+    before = spark.conf.get(ARROW_ROWS)
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
 
 
 def ascii_lower(c: Column) -> Column:

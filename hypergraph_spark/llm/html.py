@@ -4,158 +4,238 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hypergraph_spark.llm.common import materialize, small_batches
+from hypergraph_spark.llm.common import arrow_rows, materialize
 from hypergraph_spark.llm.urls import url_host
 
-# Element names of the HTML standard.
+# Element names and landmark roles of the HTML and ARIA standards.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed", "noframes"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-NEVER = RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "input", "option", "fieldset", "audio", "video", "map"}
+NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "option", "fieldset", "audio", "video", "map"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog"}
+MARKED = {"article", "main"}
 P_ENDERS = {"address", "article", "aside", "blockquote", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"table", "ul", "ol", "dl", "select", "article", "main", "section", "div", "body"}
-#: Words of class, id and role that name a part which is not the article. Fixed values.
-CHROME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|reply|replies|respond|disqus|cookies?|consent|gdpr|notice|popup|modal|overlay|sidebar|side|aside|widget\w*|nav|navbar|navigation|menu|toolbar|topbar|masthead|header|footer|foot|copyright|legal|share|sharing|social|related|recommended|promo\w*|sponsor\w*|newsletter|subscribe|signup|login|search|pagination|pager|skip|print|tags?|meta|byline|contentinfo|complementary|alert|alertdialog|form)(?:$|[\s_-])",
-    re.I,
-)
-CONTENT = {"article", "main"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: Whole class and id names of the parts that are no article; a prior that a page's own text can overrule. Fixed values.
+NAMED = {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "cookie", "cookies", "cookie-notice", "cookie-banner", "consent", "popup", "sidebar", "breadcrumb", "breadcrumbs", "nav", "navbar", "menu", "footer", "site-header", "site-footer", "share", "social", "newsletter", "related", "comment", "comments", "comment-list", "reader-comments", "disqus"}
+#: Style paths name so many levels; what lies deeper counts as part of the last. Texts are not affected.
+MAX_DEPTH = 32
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"[\s/]*([^\s/>=\"'][^\s/>=]*)?(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
+_RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>", re.I) for t in RAW}
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d{3,}")  # numbers of pages or posts, not of styles
 #: The hosts' lists of unimportant nodes are broadcast up to this size, joined with salted hosts beyond.
 BROADCAST_BYTES = 8 << 20
 SALTS = 64
 
 
-@dataclass
-class Node:
-    tag: str
-    label: str
-    chrome: bool
-    parent: Node | None
-    children: list = field(default_factory=list)  # Nodes and strings
+class _Element:
+    __slots__ = ("area", "gone", "inline", "kids", "named", "path", "tag", "under")
 
+    def __init__(self, tag: str, path: tuple[str, ...], gone: bool, named: bool, area: bool, inline: bool, under: int):
+        self.tag, self.path, self.gone, self.named, self.area, self.inline = tag, path, gone, named, area, inline
+        self.under = under  # the stack's depth of the nearest block element, its own included
+        self.kids: list[str] = []
 
-def parse(page: str) -> Node:
-    """The page's DOM; unclosed and stray tags are handled as browsers do in the common cases."""
-    root = cur = Node("#", "#", False, None)
-    pos, n = 0, len(page)
+
+class Block:
+    """A text block: style path, text, whether its branch is marked as the article, named as a part that is none, and only links."""
+
+    __slots__ = ("area", "links", "named", "path", "text")
+
+    def __init__(self, path: str, text: str, area: bool, named: bool, links: bool):
+        self.path, self.text, self.area, self.named, self.links = path, text, area, named, links
+
+
+def _tag(page: str, pos: int, last: dict[str, int]) -> tuple[dict[str, str], bool, int]:
+    """(attributes, self-closing, end) of the tag whose name ends at pos; every character is read once.
+
+    A quote that never closes ends with the tag's next `>`.
+    """
+    attrs: dict[str, str] = {}
+    n = len(page)
     while pos < n:
-        m = _TOKEN.search(page, pos)
-        if m is None:
-            cur.children.append(page[pos:])
-            break
-        if m.start() > pos:
-            cur.children.append(page[pos : m.start()])
+        if page[pos] == ">":
+            return attrs, page[pos - 1] == "/", pos + 1
+        m = _ATTR.match(page, pos)
         pos = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if tag == "p" or tag == "br":
-                if tag == "br":
-                    cur.children.append(Node("br", "br", False, cur))
-                    continue
-            at = cur
-            while at.parent is not None and at.tag != tag:
-                # A closing inline tag does not reach across a block.
-                if tag in INLINE and at.tag not in INLINE:
-                    at = root
-                    break
-                at = at.parent
-            if at.parent is not None:
-                cur = at.parent
+        if not m[2]:
+            if not m[1] and pos < n and page[pos] in "\"'=":
+                pos += 1  # a stray quote or sign
+            elif m[1]:
+                attrs.setdefault(m[1].lower(), "")
             continue
-        if tag in P_ENDERS:
-            at = cur
-            while at.parent is not None and (at.tag in INLINE or at.tag == "p"):
-                if at.tag == "p":
-                    cur = at.parent
-                    break
-                at = at.parent
-        elif tag in SAME_ENDS:
-            at = cur
-            while at.parent is not None and at.tag not in SCOPE:
-                if at.tag in SAME_ENDS[tag]:
-                    cur = at.parent
-                at = at.parent
-        attrs = {a[1].lower(): (a[2] or "").strip("\"'") for a in _ATTR.finditer(m[3])} if m[3] else {}
-        names = " ".join(attrs[k] for k in ("class", "id", "role") if k in attrs)
-        chrome = bool(names and tag not in ("body", "html") and CHROME.search(names)) or attrs.get("aria-hidden") == "true" or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "")
-        if tag in CONTENT and not chrome or attrs.get("itemprop") in ("articleBody", "text"):
-            chrome = False
-        node = Node(tag, tag + ("." + ".".join(names.split()) if names else ""), chrome, cur)
-        cur.children.append(node)
-        if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, pos)
-            if end is None and tag not in ("script", "style"):
+        quote = page[pos : pos + 1]
+        if quote and quote in "\"'":
+            if pos >= last[quote]:
+                pos += 1
                 continue
-            pos = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
-            cur = node
-    return root
+            end = page.index(quote, pos + 1)
+            value, pos = page[pos + 1 : end], end + 1
+        else:
+            v = _BARE.match(page, pos)
+            value, pos = v[0], v.end()
+        if m[1]:
+            attrs.setdefault(m[1].lower(), value)
+    return attrs, False, n
+
 
+def read_page(page: str) -> tuple[list[Block], dict[tuple[str, ...], list[str]]]:
+    """(text blocks in page order, child sequences by style path) of a page, in one pass over it.
 
-def blocks(root: Node) -> list[tuple[str, str, list[Node]]]:
-    """(style path, text, ancestors) of the page's text blocks in page order; text decoded, white space folded."""
-    out: list[tuple[str, str, list[Node]]] = []
+    Text is decoded and its white space folded; script-like and hidden elements are left out. Unclosed and stray tags
+    are handled as browsers do in the common cases. The child sequence of a style path is what its elements hold, runs
+    of equal children once, blocks of the article's kind only.
+    """
+    root = _Element("#", ("#",), False, False, False, False, 0)
+    stack, opened = [root], Counter()
+    out: list[Block] = []
+    styles: dict[tuple[str, ...], list[str]] = {}
     held: list[str] = []
-    chain: list[Node] = []
+    plain = [False]  # whether the held text has words outside links
+    links = 0
+    skipped_end: set[str] = set()
+    last = {q: page.rfind(q) for q in "\"'>"}
 
     def flush() -> None:
         if held:
             text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
             held.clear()
-            if text:
-                outer = [x for x in chain if x.tag not in INLINE or x.chrome]
-                out.append(("/".join(x.label for x in outer), text, outer))
-
-    # An explicit stack, as pages may nest deeper than Python's.
-    todo: list = [(root, False)]
-    while todo:
-        node, leaving = todo.pop()
-        if isinstance(node, str):
-            held.append(node)
+            top = stack[stack[-1].under]
+            if text and not top.gone:
+                out.append(Block("/".join(top.path), text, top.area, top.named, not plain[0]))
+        plain[0] = False
+
+    def close(depth: int) -> None:
+        """Closes all elements from the stack's depth on."""
+        nonlocal links
+        while len(stack) > depth:
+            x = stack[-1]
+            if not x.inline:
+                flush()
+                if not x.gone and x.kids:
+                    styles.setdefault(x.path, []).append(" ".join(x.kids))
+            stack.pop()
+            opened[x.tag] -= 1
+            links -= x.tag == "a"
+
+    pos, n = 0, len(page)
+    while pos < n:
+        at = page.find("<", pos)
+        if at < 0:
+            at = n
+        if at > pos:
+            if not stack[-1].gone:
+                words = page[pos:at]
+                held.append(words)
+                if not links and not words.isspace():
+                    plain[0] = True
+            pos = at
+            continue
+        if page.startswith("<!--", pos):
+            end = page.find("-->", pos + 4)
+            pos = n if end < 0 else end + 3
+            continue
+        if page[pos + 1 : pos + 2] in ("!", "?") or page[pos + 1 : pos + 3] == "</":
+            end = page.find(">", pos)
+            pos = n if end < 0 else end + 1
             continue
-        inline = node.tag in INLINE and not node.chrome
-        if leaving:
-            if not inline:
+        closing = page[pos + 1 : pos + 2] == "/"
+        m = _NAME.match(page, pos + 1 + closing)
+        if m is None or pos > last[">"]:  # no tag: a sign of the text
+            if not stack[-1].gone:
+                held.append("<")
+                plain[0] = plain[0] or not links
+            pos += 1
+            continue
+        tag = m[0].lower()
+        attrs, alone, pos = _tag(page, m.end(), last)
+        if closing:
+            if tag == "br":
                 flush()
-            chain.pop()
+            elif opened[tag]:
+                depth = len(stack) - 1
+                # A closing inline tag does not reach across a block.
+                while stack[depth].tag != tag and not (tag in INLINE and not stack[depth].inline):
+                    depth -= 1
+                if stack[depth].tag == tag:
+                    close(depth)
             continue
-        if node.tag == "br":
+        if tag in P_ENDERS and opened["p"]:
+            if stack[stack[-1].under].tag == "p":
+                close(stack[-1].under)
+        elif tag in SAME_ENDS and any(opened[t] for t in SAME_ENDS[tag]):
+            depth = len(stack) - 1
+            while depth and stack[depth].tag not in SCOPE and stack[depth].tag not in SAME_ENDS[tag]:
+                depth -= 1
+            while depth > 1 and stack[depth].tag in SAME_ENDS[tag] and stack[depth - 1].tag in SAME_ENDS[tag]:
+                depth -= 1
+            if depth and stack[depth].tag in SAME_ENDS[tag]:
+                close(depth)
+        up = stack[-1]
+        if tag == "br":
             flush()
             continue
+        if tag in RAW:
+            end = None if tag in skipped_end else _RAW_END[tag].search(page, pos)
+            if end is None:
+                skipped_end.add(tag)
+                if tag in ("script", "style"):
+                    pos = n
+            else:
+                pos = end.end()
+            continue
+        if tag in VOID or alone and tag not in INLINE:
+            if tag not in INLINE:
+                flush()
+            continue
+        if alone:
+            continue
+        classes = attrs.get("class", "").split()
+        role = attrs.get("role", "").strip().lower()
+        area = up.area or tag in MARKED or role in MARKED or attrs.get("itemprop") == "articleBody"
+        gone = up.gone or tag in NEVER or role in ROLES or tag == "header" and not area or attrs.get("aria-hidden") == "true" or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        named = up.named or tag not in ("body", "html") and any(c.lower() in NAMED for c in [*classes, attrs.get("id", "")])
+        inline = tag in INLINE and not gone and not (named and not up.named)
         if not inline:
             flush()
-        if node.tag in RAW:
-            continue
-        chain.append(node)
-        todo.append((node, True))
-        todo += [(c, False) for c in reversed(node.children)]
+            label = _DIGITS.sub("0", ".".join([tag, *classes, *([role] if role else [])])).replace("/", "|")
+            path = up.path if inline or len(up.path) > MAX_DEPTH else (*up.path, label)
+            if not gone and (not up.kids or up.kids[-1] != label):
+                up.kids.append(label)
+        else:
+            path = up.path
+        stack.append(_Element(tag, path, gone, named, area, inline, up.under if inline else len(stack)))
+        opened[tag] += 1
+        links += tag == "a"
+    close(1)
     flush()
-    return out
+    return out, styles
 
 
-def _is_chrome(ancestors: list[Node]) -> bool:
-    """Whether a block's branch is named as something other than the article."""
-    inside = False
-    for x in ancestors:
-        if x.tag in CONTENT:
-            inside = True
-        if x.chrome or x.tag in NEVER and not (inside and x.tag == "header"):
-            return True
-    return False
+def candidates(blocks: list[Block]) -> list[Block]:
+    """The blocks that may be the article, before the style tree is asked.
+
+    If the page marks an article or main part with blocks, those are it; otherwise blocks that are links only go. Then
+    named parts go, unless they hold more than is left.
+    """
+    if any(b.area for b in blocks):
+        blocks = [b for b in blocks if b.area]
+    else:
+        blocks = [b for b in blocks if not b.links]
+    kept = [b for b in blocks if not b.named]
+    return kept if 2 * sum(len(b.text) for b in kept) >= sum(len(b.text) for b in blocks) else blocks
 
 
 def _digest(text: str) -> int:
@@ -163,93 +243,120 @@ def _digest(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def style_tree(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """The merged style trees: (host, path, pages, texts, importance) of every style node that holds text.
+_NODES = "array<struct<path:string,style:boolean,content:long,mass:long>>"
+_BLOCKS = "array<struct<path:string,text:string>>"
 
-    A style node is a path of element labels (tag, class, id, role) below a host, inside or outside an article. Its
-    importance is the entropy of its contents over the distinct pages that show it, to the base of their number: 1
-    where every page differs, 0 where all are alike; a node seen on one page has importance 1. Pages of a host whose
-    blocks are all alike are one page, so that copies do not make each other's text unimportant. Counts are
-    pre-aggregated by content, so a host with a third of all pages is spread by page, then by node and content.
-    """
-    small_batches(pages.sparkSession)
-    src = pages.select(F.coalesce(url_host(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+
+def read_pages(pages: DataFrame, names: list[str], html_col: str, url_col: str) -> DataFrame:
+    """names, __host, __page (a digest of the candidates), __nodes (what the page adds to its host's tree), __blocks."""
+    host = F.coalesce(url_host(F.col(url_col)), F.lit(""))
+    src = pages.select(*names, host.alias("__host"), F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
+    kinds = pa.list_(pa.struct([("path", pa.string()), ("style", pa.bool_()), ("content", pa.int64()), ("mass", pa.int64())]))
+    texts = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts = batch.column(0).to_pylist()
-            made, nodes = [], []
-            for page in batch.column(1).to_pylist():
-                own: dict[str, list[str]] = {}
-                for path, text, ancestors in blocks(parse(page)):
-                    if not _is_chrome(ancestors):
-                        own.setdefault(path, []).append(text)
-                nodes.append([{"path": path, "content": _digest("\n".join(texts))} for path, texts in own.items()])
-                made.append(_digest("\n".join(f"{x['path']}\t{x['content']}" for x in nodes[-1])))
-            kind = pa.list_(pa.struct([("path", pa.string()), ("content", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(made, pa.int64()), pa.array(nodes, kind)], names=["host", "page", "nodes"])
-
-    seen = src.mapInArrow(run, "host string, page long, nodes array<struct<path: string, content: long>>")
-    seen = seen.groupBy("host", "page").agg(F.first("nodes").alias("nodes")).select("host", F.explode("nodes").alias("x"))
-    each = seen.select("host", "x.path", "x.content").groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"))
-    merged = each.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("texts"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    # -sum p log p with p = n / pages, to the base of pages.
-    entropy = (F.log("pages") - F.col("nlogn") / F.col("pages")) / F.log("pages")
-    return merged.select("host", "path", "pages", "texts", F.when(F.col("pages") > 1, entropy).otherwise(F.lit(1.0)).alias("importance"))
-
-
-def extract_text(pages: DataFrame, least: float = 0.5, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """pages with text (the main text, empty if none) and n_chars (its code points).
-
-    Blocks named as menus, headers, footers, sidebars, notices, adverts, forms or comments go by element, class, id
-    or role, and so do blocks whose style node in the host's merged tree is less important than `least`. If the page
-    marks an article (`article`, else `main`) with other blocks, those inside it are the text; otherwise blocks made of
-    links only go too. White space folds to one space inside a block; blocks are joined by \\n in page order. A null page is
-    empty; a null url has the host ''. Repeated rows stay; extra columns too (text and n_chars are replaced); an
-    empty table gives an empty result.
+            made, nodes, found = [], [], []
+            for page in batch.column(batch.num_columns - 1).to_pylist():
+                blocks, styles = read_page(page)
+                blocks = candidates(blocks)
+                own: dict[tuple[str, bool, int], int] = {}
+                shown = set()
+                for b in blocks:
+                    key = (b.path, False, _digest(b.text))
+                    own[key] = own.get(key, 0) + len(b.text)
+                    shown.update(tuple(b.path.split("/")[:i]) for i in range(1, b.path.count("/") + 2))
+                # Every node that holds text has one child sequence, so these rows count its pages.
+                for path in shown:
+                    own["/".join(path), True, _digest("\n".join(sorted(set(styles.get(path, ())))))] = 0
+                nodes.append([{"path": k[0], "style": k[1], "content": k[2], "mass": v} for k, v in own.items()])
+                made.append(_digest("\n".join(f"{b.path}\t{b.text}" for b in blocks)))
+                found.append([{"path": b.path, "text": b.text} for b in blocks])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.int64()), pa.array(nodes, kinds), pa.array(found, texts)], names=[*names, "__host", "__page", "__nodes", "__blocks"])
+
+    types = "".join(f"`{c}` {t}, " for c, t in src.select(*names).dtypes)
+    with arrow_rows(pages.sparkSession):
+        return materialize(src.mapInArrow(run, f"{types}__host string, __page long, __nodes {_NODES}, __blocks {_BLOCKS}"), "pages")
+
+
+def style_tree(read: DataFrame, enough: int = 8, decay: float = 0.9) -> DataFrame:
+    """The merged style trees of read_pages' rows: (host, path, pages, importance) of every style node.
+
+    A style node is a path of element labels (tag, classes, role) below a host. Pages of a host with the same candidate
+    text count once, so that copies do not make each other's text unimportant.
+
+    * Content: of a node's text blocks, one that stands on k of the node's m pages has entropy log k / log m; the
+      node's own importance is the mean of 1 - entropy, by occurrence: 1 where all differ, 0 where all are alike.
+    * Presentation: of a node's child sequences, the entropy of their distribution over the m pages, to the base of m.
+    * Branches: with l child sequences, importance = (1 - decay^(l-1)) presentation + decay^(l-1) * the mean importance
+      of the node's own text and its children, by text length.
+
+    A node on fewer than `enough` pages is measured to the base of `enough`, as few pages prove little. Everything is
+    sums by node, combined before each shuffle, so a host with a third of all pages spreads by page and by block; the
+    recursion is written out over each node's ancestors, at most MAX_DEPTH.
     """
-    small_batches(pages.sparkSession)
-    names = [c for c in pages.columns if c not in ("text", "n_chars")]
+    pages = read.groupBy("__host", "__page").agg(F.first("__nodes").alias("nodes"))
+    each = pages.select(F.col("__host").alias("host"), F.explode("nodes").alias("x")).select("host", "x.*")
+    seen = each.groupBy("host", "path", "style", "content").agg(F.count(F.lit(1)).alias("k"), F.sum("mass").alias("mass"))
+    style, k = F.col("style"), F.col("k")
+    by = seen.groupBy("host", "path").agg(
+        F.sum(F.when(style, k)).alias("pages"), F.sum(style.cast("int")).alias("l"), F.sum(F.when(style, k * F.log(k))).alias("spread"),
+        F.sum(F.when(~style, k)).alias("n"), F.sum(F.when(~style, k * F.log(k))).alias("alike"), F.sum("mass").cast("double").alias("mass"),
+    )
+    base = F.log(F.greatest(F.col("pages"), F.lit(enough)))
+    content = 1 - F.least(F.coalesce(F.col("alike") / F.col("n") / base, F.lit(0.0)), F.lit(1.0))
+    presented = (F.log("pages") - F.col("spread") / F.col("pages")) / base
+    node = materialize(by.select("host", "path", "pages", "mass", content.alias("content"), presented.alias("presented"), F.pow(F.lit(decay), F.col("l") - 1).alias("stay")), "style-nodes")
+    # With s the stay, importance(E) * mass(E) is a sum over the nodes D of E's branch: D's own text times all s from E
+    # down to D, and D's presentation times 1 - s(D) times all s from E down to above D.
+    parts = F.split("path", "/")
+    chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    ups = node.select("host", F.col("path").alias("below"), "mass", "content", "presented", F.posexplode(chain).alias("depth", "path")).join(node.select("host", "path", "stay"), ["host", "path"])
+    line = F.sort_array(F.collect_list(F.struct("depth", "path", "stay"))).alias("line")
+    lines = ups.groupBy("host", "below", "mass", "content", "presented").agg(line)
+    product = lambda a, b: F.aggregate(F.slice("line", a + 1, b - a), F.lit(1.0), lambda x, y: x * y["stay"])
+    own = F.transform("line", lambda x: F.struct(x["path"].alias("path"), product(x["depth"], F.size("line")).alias("text"), product(x["depth"], F.size("line") - 1).alias("shown")))
+    adds = materialize(lines.select("host", "below", "mass", "content", "presented", F.element_at("line", -1)["stay"].alias("last"), F.explode(own).alias("x")).select("host", "below", "mass", "content", "presented", "last", "x.path", "x.text", "x.shown"), "style-lines")
+    total = adds.groupBy("host", "path").agg(F.sum("mass").alias("mass"), F.sum(F.col("mass") * F.col("content") * F.col("text")).alias("texts"))
+    shown = adds.where((F.col("presented") > 0) & (F.col("last") < 1)).join(total.select("host", F.col("path").alias("below"), F.col("mass").alias("branch")), ["host", "below"])
+    gains = shown.groupBy("host", "path").agg(F.sum(F.col("branch") * F.col("presented") * (1 - F.col("last")) * F.col("shown")).alias("gain"))
+    out = total.join(gains, ["host", "path"], "left").join(node.select("host", "path", "pages"), ["host", "path"])
+    importance = (F.col("texts") + F.coalesce("gain", F.lit(0.0))) / F.greatest(F.col("mass"), F.lit(1.0))
+    return out.select("host", "path", "pages", F.least(importance, F.lit(1.0)).alias("importance"))
+
+
+def extract_text(pages: DataFrame, least: float = 0.2, html_col: str = "html", url_col: str = "url", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """pages (the columns `keep`, all if None) with text (the main text, empty if none) and n_chars (its code points).
+
+    1. Every page is read once, into blocks with their style paths. Elements and roles that the standards reserve for
+       menus, headers, footers, sidebars, forms and notices go, and so do parts named so by a whole class or id (see
+       candidates); a marked article or main part is where the text is looked for first.
+    2. The blocks of each host merge into its style tree (see style_tree). Every branch less important than `least` is
+       removed from all its pages, inside a marked article as well.
+
+    White space folds to one space inside a block; blocks are joined by \\n in page order. A null page is empty; a null
+    url has the host ''. A page of which the tree would leave nothing keeps its candidates. Repeated rows stay; extra
+    columns too (text and n_chars are replaced); an empty table gives an empty result.
+    """
+    names = [c for c in (keep or pages.columns) if c not in ("text", "n_chars")]
+    read = read_pages(pages, names, html_col, url_col)
+    tree = style_tree(read).where(F.col("importance") < least).select("host", "path")
     # Only unimportant nodes are sent back, as one list a host: bounded by its templates, not by its pages.
-    low = style_tree(pages, html_col, url_col).where(F.col("importance") < least).groupBy(F.col("host").alias("__host")).agg(F.collect_list("path").alias("__low"))
-    low = materialize(low, "style-tree")
-    size = low.agg(F.coalesce(F.sum(F.octet_length("__host") + F.octet_length(F.array_join("__low", ","))), F.lit(0))).first()[0]
-    df = pages.select(*names, F.coalesce(url_host(F.col(url_col)), F.lit("")).alias("__h"))
+    low = materialize(tree.groupBy(F.col("host").alias("__of")).agg(F.collect_list(F.concat("path", F.lit("/"))).alias("__low")), "style-tree")
+    size = low.agg(F.coalesce(F.sum(F.octet_length("__of") + F.octet_length(F.array_join("__low", ","))), F.lit(0))).first()[0]
+    df = read.select(*names, "__host", "__page", "__blocks")
     if size <= BROADCAST_BYTES:
-        df = df.join(F.broadcast(low), F.col("__h") == F.col("__host"), "left")
+        df = df.join(F.broadcast(low), F.col("__host") == F.col("__of"), "left")
     else:
         # A host's pages are spread over SALTS tasks, its list sent to each.
-        df = df.withColumn("__salt", F.pmod(F.xxhash64(html_col, url_col), F.lit(SALTS)))
         low = low.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        df = df.join(low, (F.col("__h") == F.col("__host")) & (F.col("__salt") == F.col("__s")), "left")
-    df = df.select(*names, "__low")
-    out = df.withColumn("text", _extractor()(F.coalesce(F.col(html_col), F.lit("")), F.col("__low")))
-    return out.select(*names, "text", F.length("text").cast("long").alias("n_chars"))
-
-
-def main_text(page: str, low: set[str]) -> str:
-    """The page's main text, given the unimportant style paths of its host."""
-    found = [(path, text, up) for path, text, up in blocks(parse(page)) if path not in low and not _is_chrome(up)]
-    for tag in ("article", "main"):
-        inside = [text for _, text, up in found if any(x.tag == tag for x in up)]
-        if inside:
-            return "\n".join(inside)
-    return "\n".join(text for _, text, up in found if not _links_only(up[-1] if up else None, text))
-
-
-def _links_only(node: Node | None, text: str) -> bool:
-    """Whether all of the block's text stands in links."""
-    if node is None:
-        return False
-    return not any(isinstance(c, str) and c.strip() or isinstance(c, Node) and c.tag != "a" for c in node.children) and any(isinstance(c, Node) for c in node.children)
-
-
-def _extractor():
-    import pandas as pd
+        df = df.join(low, (F.col("__host") == F.col("__of")) & (F.pmod(F.col("__page"), F.lit(SALTS)) == F.col("__s")), "left")
+    stays = F.filter("__blocks", lambda b: ~F.exists("__low", lambda x: F.startswith(F.concat(b["path"], F.lit("/")), x)))
+    kept = F.when(F.col("__low").isNull() | (F.size(stays) == 0), F.col("__blocks")).otherwise(stays)
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    return df.select(*names, text.alias("text")).select(*names, "text", F.length("text").cast("long").alias("n_chars"))
 
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for htmls, lows in parts:
-            yield pd.Series([main_text(h, set(x) if x is not None else set()) for h, x in zip(htmls, lows, strict=True)], dtype="object")
 
-    run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "string")
+def main_text(page: str) -> str:
+    """The candidates of one page, without its host's tree."""
+    return "\n".join(b.text for b in candidates(read_page(page)[0]))
