@@ -28,21 +28,27 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     A text is split at \\n (null or empty: one empty line). Keys (line_key) of at least min_chars code
     points found in at least min_docs distinct doc_ids lose all their lines except in the largest doc_id
     holding one. Rows that repeat a doc_id are one document for the counts and each is rewritten; a null
-    doc_id is a document below all others. A text of which every line goes becomes empty; a null text with
+    doc_id is a document below all others. Lines are exploded with their positions, the lost positions found by a join
+    on the key's hash, and texts reassembled from the positions that stay, in time linear in lines. A text of which every line goes becomes empty; a null text with
     no line dropped stays null. Extra columns are kept; those named n_lines or n_dropped are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    base = docs.select(*names).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    long_enough = base.where(F.length("text") >= min_chars).select("__id", F.explode(lines).alias("line")).where(F.length("line") >= min_chars)
-    keyed = long_enough.select("__id", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars).select("__id", _digest(F.col("key")).alias("h"))
-    per_doc = keyed.groupBy("h", "__id").agg(F.lit(1).alias("one"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # A row's positions hold for every row of its id and text.
+    base = docs.select(*names).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__th", F.xxhash64(text))
+    exploded = base.where(F.length("text") >= min_chars).select("__id", "__th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.length("line") >= min_chars)
+    keyed = exploded.select("__id", "__th", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars).select(_digest(F.col("key")).alias("h"), "__id", "__th", "pos")
+    per_doc = keyed.groupBy("h", "__id").agg(F.collect_set(F.struct("__th", "pos")).alias("at"))
     common = per_doc.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("__keep")).where(F.col("n") >= min_docs)
     lost = per_doc.join(common.select("h", "__keep"), "h").where(F.col("__id") != F.col("__keep"))
-    bad = lost.groupBy("__id").agg(F.collect_set("h").alias("__bad"))
-    joined = base.join(bad, "__id", "left")
-    stays = F.filter(lines, lambda x: ~((F.length(x) >= min_chars) & (F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("__bad"), _digest(line_key(x)))))
-    n_lines = F.size(lines).cast("long")
-    joined = joined.withColumn("__kept", F.when(F.col("__bad").isNotNull(), stays))
-    text = F.when(F.col("__kept").isNull() | (F.size("__kept") == F.size(lines)), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], n_lines.alias("n_lines"), F.coalesce(n_lines - F.size("__kept"), F.lit(0)).cast("long").alias("n_dropped"))
+    lost = lost.select("__id", F.explode("at").alias("at")).groupBy("__id", "at.__th").agg(F.collect_list("at.pos").alias("__lost"))
+    # Texts travel as their lines, so that each is split once and every line is then reached by its position.
+    split = base.select(*[c for c in names if c != "text"], "__id", "__th", F.col("text").isNull().alias("__null"), F.split(text, "\n", -1).alias("__lines"))
+    df = split.join(lost, ["__id", "__th"], "left")
+    n = F.size("__lines")
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("__lost", F.array().cast("array<int>")))
+    # A line of its own position is taken from the array; `__lines` comes out of a join, so nothing is split again.
+    kept = F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(F.transform(stay, lambda i: F.get("__lines", i)))
+    made = F.when(~(F.col("__null") & F.col("__lost").isNull()), F.array_join(kept, "\n"))
+    n_dropped = F.coalesce(F.size("__lost"), F.lit(0))
+    return df.select(*[made.alias("text") if c == "text" else F.col(c) for c in names], n.cast("long").alias("n_lines"), F.when(F.col("__lost").isNull(), F.lit(0)).otherwise(n_dropped).cast("long").alias("n_dropped"))
