@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +13,11 @@ from hypergraph_spark.llm.common import materialize, word_count
 #: A schedule: knots (time 0 to 1, factor >= 0) of a piecewise linear factor on a source's weight.
 Schedule = Sequence[tuple[float, float]]
 FLAT: Schedule = ((0.0, 1.0), (1.0, 1.0))
+#: The production curriculum, dealt to sources in turn as the weights are: heavy sources fade, middle ones stay, light ones grow.
+CURRICULUM: tuple[Schedule, ...] = (((0.0, 1.5), (1.0, 0.5)), FLAT, ((0.0, 0.5), (1.0, 1.5)))
 #: Offsets of up to so many (source, bucket) pairs, some 10 MB, are broadcast.
 BROADCAST_ROWS = 200_000
+MADE = ("size", "source_size", "target", "copies", "taken", "positions")
 
 
 def _pieces(schedule: Schedule) -> list[tuple[float, float, float, float, float]]:
@@ -66,30 +70,49 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), total
     return s.select("source", "source_size", "rank", "weight", target.alias("target"))
 
 
-def curriculum_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, cap: float = 2.0, schedules: dict[str, Schedule] | None = None, buckets: int = 256, bucket_rows: int = 50_000) -> DataFrame:
-    """docs, range-sorted by their first training position, with size, source_size, target, copies, taken, positions.
+def curriculum_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, cap: float = 2.0, schedules: dict[str, Schedule] | Sequence[Schedule] | None = None, buckets: int = 256, bucket_rows: int = 50_000, keep: Sequence[str] | None = None) -> DataFrame:
+    """docs (the columns `keep`, all if None), range-sorted by their first training position, with size, source_size, target, copies, taken, positions.
 
     Every document of a source is laid once on the source's token axis, in an order fixed by the md5 of its
-    id and text; the axis repeats until the target is reached. A document is taken for each lap in which the
-    middle of its span lies below the target (none if target is 0), so a source misses its target by half a
-    document at most and a document is never taken more than ceil(cap) times. The k-th copy's position is the
-    time at which the source's integrated schedule (`schedules`, by source; flat otherwise) demands it.
+    id and text; the axis repeats. The source's cumulative token demand at time t is its target times the integral of
+    its schedule from 0 to t, scaled to 1 over the whole time; the k-th lap's copy is taken at the time at which that
+    demand reaches the middle of its span - its position, 0 to 1 - and not at all if the demand never does. So a
+    source misses its target by half a document at most and a document is taken ceil(cap) times at most. `schedules`
+    are given by source, or as a sequence dealt to the sources in turn (CURRICULUM is one); flat where none is.
     Spans come from prefix sums in two levels - hash buckets within a source, then rows within a bucket - so a
     source with a third of all rows is never ordered in one task. There are `buckets` a source, or as many (65,536
     at most) as keep the largest source's at about bucket_rows rows; results do not depend on either. Null source is a source of its own; texts
     that are null or empty have size 0, span nothing and are taken as their place on the axis says, adding 0
     words. Repeated rows are ordered by their hash, ties by size. Reruns agree. An empty table gives an empty
-    result. Extra columns stay; those named like the results are replaced.
+    result. Extra columns stay; those named like the results are replaced. If the text is not kept, texts are read
+    once, and what is moved has none.
     """
-    made = ("size", "source_size", "target", "copies", "taken", "positions")
-    names = [c for c in docs.columns if c not in made]
+    mixed = _placed(docs, weights, total, cap, schedules, buckets, bucket_rows, keep)
+    return mixed.orderBy(F.element_at(F.concat("positions", F.array(F.lit(2.0))), 1), "doc_id")
+
+
+def training_rows(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, cap: float = 2.0, schedules: dict[str, Schedule] | Sequence[Schedule] | None = None) -> DataFrame:
+    """A row of docs for every time that the mix takes it (see curriculum_mix), range-sorted by that position, then doc_id.
+
+    The columns are those of docs, source and text among them.
+    """
+    made = [c for c in docs.columns if c in MADE]
+    kept = docs.withColumnsRenamed({c: f"__in_{c}" for c in made})
+    mixed = _placed(kept, weights, total, cap, schedules).withColumn("__position", F.explode("positions")).drop(*MADE)
+    return mixed.withColumnsRenamed({f"__in_{c}": c for c in made}).orderBy("__position", "doc_id").select(*docs.columns)
+
+
+def _placed(docs: DataFrame, weights: Sequence[float], total: float, cap: float, schedules: dict[str, Schedule] | Sequence[Schedule] | None, buckets: int = 256, bucket_rows: int = 50_000, keep: Sequence[str] | None = None) -> DataFrame:
+    names = [c for c in (keep or docs.columns) if c not in MADE]
     order = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
-    df = docs.select(*names).withColumn("size", word_count(F.col("text"))).withColumn("__order", order)
+    df = docs.select(*dict.fromkeys([*names, "source"]), word_count(F.col("text")).alias("size"), order.alias("__order"))
+    if "text" not in names:
+        df = materialize(df, "mix-sizes")
     return place(df, names, weights, total, cap, schedules, buckets, bucket_rows)
 
 
-def place(df: DataFrame, names: list[str], weights: Sequence[float], total: float, cap: float, schedules: dict[str, Schedule] | None, buckets: int, bucket_rows: int) -> DataFrame:
-    """curriculum_mix from rows that already hold size and __order (hex text)."""
+def place(df: DataFrame, names: list[str], weights: Sequence[float], total: float, cap: float, schedules: dict[str, Schedule] | Sequence[Schedule] | None, buckets: int, bucket_rows: int) -> DataFrame:
+    """curriculum_mix, unsorted, from rows that already hold size and __order (hex text)."""
     fine = F.conv(F.substring("__order", 1, 4), 16, 10).cast("long")
     # Counted at the finest split first, so that buckets can grow in number with the largest source.
     found = materialize(df.groupBy("source", fine.alias("__fine")).agg(F.sum("size").alias("__sum"), F.count(F.lit(1)).alias("__n")), "mix-sums")
@@ -103,21 +126,27 @@ def place(df: DataFrame, names: list[str], weights: Sequence[float], total: floa
     targets = source_targets(sums.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, total, cap)
     before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("__offset", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
-    offsets = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select(F.col("o.source").alias("__source"), F.col("o.__bucket").alias("__b"), "__offset", "source_size", "target")
+    offsets = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select(F.col("o.source").alias("__source"), F.col("o.__bucket").alias("__b"), "__offset", "source_size", "target", F.col("rank").alias("__rank"))
     df = df.join(send(offsets), F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b")))
     within = Window.partitionBy("source", "__bucket").orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("__mid", F.col("__offset") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2.0)
-    copies = F.greatest(F.lit(0), F.ceil((F.col("target") - F.col("__mid")) / F.greatest(F.col("source_size"), F.lit(1)))).cast("int")
-    df = df.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    share = lambda k: (F.col("__mid") + k * F.col("source_size")) / F.greatest(F.col("target"), F.lit(1e-300))
-
-    def position(k: Column) -> Column:
-        out = invert_demand(share(k), FLAT)
-        for name, schedule in (schedules or {}).items():
-            out = F.when(F.col("source") == name, invert_demand(share(k), schedule)).otherwise(out)
+
+    def position(share: Column) -> Column:
+        if isinstance(schedules, dict):
+            out = invert_demand(share, FLAT)
+            for name, schedule in schedules.items():
+                out = F.when(F.col("source") == name, invert_demand(share, schedule)).otherwise(out)
+            return out
+        cycle = list(schedules or [FLAT])
+        turn = F.pmod(F.col("__rank"), F.lit(len(cycle)))
+        out = invert_demand(share, cycle[0])
+        for i, schedule in enumerate(cycle[1:], 1):
+            out = F.when(turn == i, invert_demand(share, schedule)).otherwise(out)
         return out
 
-    steps = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("positions", F.transform(steps, position))
-    df = df.select(*names, "size", "source_size", "target", "copies", "taken", "positions")
-    return df.orderBy(F.element_at(F.concat("positions", F.array(F.lit(2.0))), 1), "doc_id")
+    # A lap's share of the whole demand; those below 1 have a time at which they are due.
+    laps = F.transform(F.sequence(F.lit(0), F.lit(math.ceil(cap))), lambda k: F.col("__mid") + k * F.col("source_size"))
+    due = F.transform(F.filter(laps, lambda x: x < F.col("target")), lambda x: x / F.col("target"))
+    df = df.withColumn("positions", F.transform(due, position))
+    copies = F.size("positions")
+    return df.select(*names, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "positions")

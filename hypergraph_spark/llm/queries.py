@@ -11,7 +11,7 @@ from hypergraph_spark.llm.decontaminate import find_contaminated
 from hypergraph_spark.llm.fingerprints import version_fingerprints
 from hypergraph_spark.llm.html import extract_text
 from hypergraph_spark.llm.lines import dedup_lines
-from hypergraph_spark.llm.mixing import curriculum_mix
+from hypergraph_spark.llm.mixing import CURRICULUM, curriculum_mix
 from hypergraph_spark.llm.sharding import shard_documents
 from hypergraph_spark.llm.simhash import simhash_components
 from hypergraph_spark.llm.suffix import drop_repeats
@@ -71,12 +71,14 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return extract_text(_table(spark, sf_dir, "pages"), keep=("page_id", "url"))
 
 
 def op10_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = curriculum_mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    out = curriculum_mix(_table(spark, sf_dir, "documents"), schedules=CURRICULUM, keep=("doc_id",))
+    # Times as millionths of the whole training, null where a document is not taken, or not again.
+    at = lambda k: F.floor(F.get("positions", F.lit(k)) * 1_000_000).cast("long")
+    return out.select("doc_id", "size", "source_size", "target", "taken", at(0).alias("position"), at(1).alias("next_position"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -141,10 +143,14 @@ o AS (SELECT *, coalesce(sum(room) OVER (ORDER BY room / weight, rank ROWS BETWE
       sum(weight) OVER (ORDER BY room / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM w),
 l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - filled) / open_weight AS level FROM o),
 f AS (SELECT level FROM l WHERE level * weight <= room ORDER BY room / weight, rank LIMIT 1),
-t AS (SELECT source, source_size, CASE WHEN (SELECT level FROM f) IS NULL OR (SELECT level FROM f) * weight > room THEN room ELSE (SELECT level FROM f) * weight END AS target FROM l),
-m AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+t AS (SELECT source, source_size, rank, CASE WHEN (SELECT level FROM f) IS NULL OR (SELECT level FROM f) * weight > room THEN room ELSE (SELECT level FROM f) * weight END AS target FROM l),
+m AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.rank,
       coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2.0::DOUBLE AS mid
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target, (greatest(0, ceil((target - mid) / greatest(source_size, 1))) * size)::BIGINT AS taken FROM m
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CASE WHEN mid < target THEN mid / target END AS s0, CASE WHEN mid + source_size < target THEN (mid + source_size) / target END AS s1 FROM m)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (greatest(0, ceil((target - mid) / greatest(source_size, 1))) * size)::BIGINT AS taken,
+       floor(CASE rank % 3 WHEN 0 THEN least(1.0::DOUBLE, 2 * s0 / (1.5::DOUBLE + sqrt(greatest(2.25::DOUBLE - 2 * s0, 0)))) WHEN 1 THEN s0 ELSE least(1.0::DOUBLE, 2 * s0 / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * s0))) END * 1000000)::BIGINT AS position,
+       floor(CASE rank % 3 WHEN 0 THEN least(1.0::DOUBLE, 2 * s1 / (1.5::DOUBLE + sqrt(greatest(2.25::DOUBLE - 2 * s1, 0)))) WHEN 1 THEN s1 ELSE least(1.0::DOUBLE, 2 * s1 / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * s1))) END * 1000000)::BIGINT AS next_position
+FROM p
 """,
 }
