@@ -38,78 +38,105 @@ def paragraph_digests(text: bytes, words: int = 8) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _cells(keys: np.ndarray, owner: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(HASHES, keys) cell numbers: each hash has a third of its owner's cells to itself."""
-    third = (size // HASHES)[owner].astype(np.uint64)
-    return np.stack([first[owner] + (j * third + mix(keys ^ _SALTS[j]) % third).astype(np.int64) for j in range(HASHES)])
-
-
-def _sums(keys: np.ndarray, sign: np.ndarray, cells: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, XORs of keys and XORs of checks of n cells."""
-    count, key, check = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    checks = mix(keys ^ _SALTS[3])
-    for c in cells:
-        np.add.at(count, c, sign)
-        np.bitwise_xor.at(key, c, keys)
-        np.bitwise_xor.at(check, c, checks)
-    return count, key, check
-
-
-def sketch(digests: list[np.ndarray], cells: int) -> list[bytes]:
-    """Each digest set's sketch of `cells` cells: per cell a count, a key XOR and a check XOR."""
-    n = len(digests)
-    owner = np.repeat(np.arange(n), [len(d) for d in digests])
+_CELL = np.dtype([("k", "<u8"), ("n", "<i4"), ("c", "<u4")])
+
+
+def _checks(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys ^ _SALTS[3]) >> np.uint64(32)).astype(np.uint32)
+
+
+def _cells(keys: np.ndarray, owner: np.ndarray, cells: int) -> np.ndarray:
+    """(HASHES, keys) cell numbers, `cells` an owner: each hash has a third of its owner's cells to itself."""
+    third = np.uint64(cells // HASHES)
+    return np.stack([owner * cells + (j * third + mix(keys ^ _SALTS[j]) % third).astype(np.int64) for j in range(HASHES)])
+
+
+def _flip(table: np.ndarray, keys: np.ndarray, owner: np.ndarray, sign: np.ndarray) -> None:
+    """Adds (sign 1) or takes out (-1) each key in its owner's sketch."""
+    for c in _cells(keys, owner, table.shape[1]):
+        flat = table.reshape(-1)
+        np.add.at(flat["n"], c, sign)
+        np.bitwise_xor.at(flat["k"], c, keys)
+        np.bitwise_xor.at(flat["c"], c, _checks(keys))
+
+
+def sketch(digests: list[np.ndarray], cells: int) -> np.ndarray:
+    """(sets, cells) sketches of digest sets: per cell a count, a key XOR and a check XOR."""
+    table = np.zeros((len(digests), cells), _CELL)
     keys = np.concatenate([*digests, np.empty(0, np.uint64)])
-    where = _cells(keys, owner, np.full(n, cells), np.arange(n) * cells)
-    count, key, check = _sums(keys, np.ones(len(keys), np.int64), where, n * cells)
-    table = np.zeros(n * cells, [("n", "<u2"), ("k", "<u8"), ("c", "<u2")])
-    table["n"], table["k"], table["c"] = count & 0xFFFF, key, check & np.uint64(0xFFFF)
-    return [table[i * cells : (i + 1) * cells].tobytes() for i in range(n)]
+    _flip(table, keys, np.repeat(np.arange(len(digests)), [len(d) for d in digests]), np.ones(len(keys), np.int32))
+    return table
+
 
+def subtract(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Sketches of the differences: what both sets hold cancels out."""
+    out = np.empty_like(one)
+    out["n"], out["k"], out["c"] = one["n"] - other["n"], one["k"] ^ other["k"], one["c"] ^ other["c"]
+    return out
 
-def peel(one: list[np.ndarray], other: list[np.ndarray], size: np.ndarray) -> np.ndarray:
-    """Number of digests in which each pair of sets differs, -1 where its difference cannot be peeled.
 
-    Both sets are sketched with size[i] cells and subtracted; cells that hold one key are peeled in
-    rounds, all pairs together, until nothing is left or no cell is pure.
+def peel(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(solved, owner, digest, side): the digests that subtracted sketches hold, side 1 of the first set, -1 of the second.
+
+    Cells that hold one digest are peeled in rounds, all sketches together, until no cell is pure. A sketch is solved
+    if nothing is left in it. A sketch is given up after more digests than it has cells.
     """
-    n = len(size)
-    size = (size + HASHES - 1) // HASHES * HASHES
-    first = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
-    la, lb = [len(x) for x in one], [len(x) for x in other]
-    owner = np.concatenate((np.repeat(np.arange(n), la), np.repeat(np.arange(n), lb)))
-    keys = np.concatenate([*one, *other, np.empty(0, np.uint64)])
-    sign = np.concatenate((np.ones(sum(la), np.int64), -np.ones(sum(lb), np.int64)))
-    count, key, check = _sums(keys, sign, _cells(keys, owner, size, first), int(size.sum()))
-    of = np.repeat(np.arange(n), size)
-    found = np.zeros(n, np.int64)
-    while True:
-        pure = np.flatnonzero((np.abs(count) == 1) & (check == mix(key ^ _SALTS[3])))
+    table, cells = table.copy(), table.shape[1]
+    owners, keys, sides = [], [], []
+    for _ in range(2 * cells + 2):
+        flat = table.reshape(-1)
+        pure = np.flatnonzero((np.abs(flat["n"]) == 1) & (flat["c"] == _checks(flat["k"])))
         if not len(pure):
             break
-        got, at = np.unique(np.stack([of[pure].astype(np.uint64), key[pure]]), axis=1, return_index=True)
-        o, k, s = got[0].astype(np.int64), got[1], count[pure[at]]
-        np.add.at(found, o, 1)
-        for c in _cells(k, o, size, first):
-            np.subtract.at(count, c, s)
-            np.bitwise_xor.at(key, c, k)
-            np.bitwise_xor.at(check, c, mix(k ^ _SALTS[3]))
-    rest = np.zeros(n, np.int64)
-    np.add.at(rest, of, (count != 0) | (key != 0))
-    return np.where(rest > 0, -1, found)
-
-
-def likeness(one: list[np.ndarray], other: list[np.ndarray], cells: int) -> np.ndarray:
-    """1 - differing digests / all digests of each pair, from sketches that double until they peel; 1 for two empty sets."""
-    total = np.array([len(a) + len(b) for a, b in zip(one, other, strict=True)], np.int64)
-    size, differ = np.full(len(total), cells), np.full(len(total), -1, np.int64)
-    todo = np.arange(len(total))
+        got, at = np.unique(np.stack([(pure // cells).astype(np.uint64), flat["k"][pure]]), axis=1, return_index=True)
+        owner, side = got[0].astype(np.int64), flat["n"][pure[at]]
+        owners.append(owner)
+        keys.append(got[1])
+        sides.append(side)
+        _flip(table, got[1], owner, -side)
+    solved = ~((table["n"] != 0) | (table["k"] != 0)).any(axis=1)
+    if not owners:
+        return solved, np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int32)
+    return solved, np.concatenate(owners), np.concatenate(keys), np.concatenate(sides)
+
+
+def differences(one: list[np.ndarray], other: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(digests only in the first set, only in the second) of each pair, recovered from the pairs' sketches a and b.
+
+    Pairs whose difference does not peel are sketched anew with twice the cells, and so on; a pair that has more cells
+    than four times its digests and still does not peel (two digests that fall together in all hashes) is settled by
+    comparing its sets.
+    """
+    n = len(one)
+    first, second = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    todo, cells = np.arange(n), a.shape[1]
+    total = np.array([len(x) + len(y) for x, y in zip(one, other, strict=True)], np.int64)
+    gap = np.array([abs(len(x) - len(y)) for x, y in zip(one, other, strict=True)], np.int64)
     while len(todo):
-        differ[todo] = peel([one[i] for i in todo], [other[i] for i in todo], size[todo])
-        todo = todo[differ[todo] < 0]
-        # Sizes that cannot hold even the difference in counts are skipped.
-        gap = np.array([abs(len(one[i]) - len(other[i])) for i in todo], np.int64)
-        size[todo] = np.maximum(2 * size[todo], 2 * gap)
+        # Sketches that cannot hold even the difference in numbers wait for larger ones.
+        ready = todo[gap[todo] <= cells]
+        again = []
+        # Pairs go through in portions of bounded memory.
+        step = max(1, (1 << 20) // cells)
+        for at in (ready[i : i + step] for i in range(0, len(ready), step)):
+            if a.shape[1] == cells:
+                tables = subtract(a[at], b[at])
+            else:
+                tables = subtract(sketch([one[i] for i in at], cells), sketch([other[i] for i in at], cells))
+            solved, owner, _, side = peel(tables)
+            first[at], second[at] = np.bincount(owner[side > 0], minlength=len(at)), np.bincount(owner[side < 0], minlength=len(at))
+            again.append(at[~solved])
+        todo = np.concatenate([todo[gap[todo] > cells], *again])
+        for i in todo[cells > 4 * total[todo] + 64]:
+            first[i], second[i] = len(np.setdiff1d(one[i], other[i])), len(np.setdiff1d(other[i], one[i]))
+        todo = todo[cells <= 4 * total[todo] + 64]
+        cells *= 2
+    return first, second
+
+
+def likeness(one: list[np.ndarray], other: list[np.ndarray], differ: np.ndarray) -> np.ndarray:
+    """1 - differing digests / all digests of each pair; 1 for two empty sets."""
+    total = np.array([len(x) + len(y) for x, y in zip(one, other, strict=True)], np.int64)
     return np.where(total == 0, 1.0, 1.0 - differ / np.maximum(total, 1))
 
 
@@ -121,9 +148,12 @@ def _ranges(docs: DataFrame, id_col: str, n: int) -> list[int]:
 
 
 def version_fingerprints(docs: DataFrame, cells: int = 15, words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_digests) of every row.
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_digests, and the recovered
+    numbers of digests: lost_edited, new_edited, lost_next, new_next) of every row.
 
-    The fingerprint is the hex of a sketch of `cells` cells. A row's edited text has its last floor(n/2) code
+    The fingerprint is the hex of a sketch of `cells` cells (a multiple of HASHES). The sketches of two versions are
+    subtracted and peeled, which recovers the digests that only one of them holds; a difference too large for them is
+    peeled from larger sketches of the same digests (see differences). A row's edited text has its last floor(n/2) code
     points replaced by the first as many (or all) of the next row's text in ascending id order, after the last
     the first's. near_*: likeness of the row's digests to the edited text's and to the next row's. Null texts
     count as empty. Equal ids follow each other by text; null ids come first. A table of one row is its own
@@ -148,7 +178,7 @@ def version_fingerprints(docs: DataFrame, cells: int = 15, words: int = 8, id_co
     dealt = src.withColumn("tag", F.explode(ranges("id"))).withColumn("part", F.floor(F.col("tag") / 2).cast("int"))
     # A range is a partition of its own, without hash collisions.
     dealt = dealt.repartitionById(len(lows), F.col("part")).sortWithinPartitions("part", "tag", "id", "text")
-    schema = "id long, no_id boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_digests int"
+    schema = "id long, no_id boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_digests int, lost_edited int, new_edited int, lost_next int, new_next int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows of the range at hand that still lack a successor
@@ -192,10 +222,14 @@ def _digest_rows(rows: list[tuple], cells: int, words: int, names: list[str]) ->
             edited.append((t[: len(t) - half] + texts[i + 1].decode("utf-8", "replace")[:half]).encode())
         new = [paragraph_digests(t, words) for t in edited]
         mine, nxt = [own[i - a] for i in at], [own[i + 1 - a] for i in at]
+        held, changed = sketch(own, cells), sketch(new, cells)
+        here, after = np.array(at) - a, np.array(at) + 1 - a
+        lost, added = differences(mine, new, held[here], changed)
+        lost_next, new_next = differences(mine, nxt, held[here], held[after])
         columns = [
             [rows[i][0] for i in at], [rows[i][1] for i in at], lengths, [hashlib.sha256(t).hexdigest() for t in edited],
-            [s.hex() for s in sketch(mine, cells)], [s.hex() for s in sketch(new, cells)],
-            likeness(mine, new, cells), likeness(mine, nxt, cells), [len(d) for d in mine],
+            [held[i].tobytes().hex() for i in here], [x.tobytes().hex() for x in changed],
+            likeness(mine, new, lost + added), likeness(mine, nxt, lost_next + new_next), [len(d) for d in mine], lost, added, lost_next, new_next,
         ]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), *[pa.int32()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
