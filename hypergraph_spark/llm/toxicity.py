@@ -182,13 +182,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, min
     At most max_rows labelled ids, those of the smallest xxhash64(doc_id), are fitted on: the documented bound of
     the sample, and of what is broadcast. Document frequencies of words and stems are counted by Spark on all of
     it. Null labels and ids are ignored, an id with several labels has its largest, null texts are empty. Without
-    both labels the model scores every text alike.
+    both labels the model scores every text alike. Of rows that repeat an id the least text is fitted on, so the sample
+    is as bounded as the ids.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("row")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     picked = known.orderBy(F.xxhash64("row"), "row").limit(max_rows)
     rows = docs.select(F.col("doc_id").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "row")
-    sample = materialize(rows.select("row", "text", "y"), "toxic-sample")
+    sample = materialize(rows.groupBy("row").agg(F.min("text").alias("text"), F.first("y").alias("y")), "toxic-sample")
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     positives, negatives = n.get(1, 0), n.get(0, 0)
     if not positives or not negatives:
