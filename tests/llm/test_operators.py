@@ -212,12 +212,24 @@ def test_peeling_recovers_differences():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 2**63, 50, dtype=np.uint64)) for _ in range(20)]
     others = [np.concatenate([s[5:], rng.integers(0, 2**63, i, dtype=np.uint64)]) for i, s in enumerate(sets)]
-    like = fpr.likeness(sets, others, 6)
-    for i, (a, b) in enumerate(zip(sets, others, strict=True)):
-        differ = len(np.setxor1d(a, b))
-        assert like[i] == pytest.approx(1 - differ / (len(a) + len(b)))
-    assert (fpr.peel(sets, others, np.full(20, 6)) == -1).any()
-    assert fpr.likeness([np.empty(0, np.uint64)], [np.empty(0, np.uint64)], 6).tolist() == [1.0]
+    a, b = fpr.sketch(sets, 96), fpr.sketch(others, 96)
+    solved, owner, digest, side = fpr.peel(fpr.subtract(a, b))
+    assert solved.all()
+    for i, (x, y) in enumerate(zip(sets, others, strict=True)):
+        assert set(digest[(owner == i) & (side > 0)].tolist()) == set(np.setdiff1d(x, y).tolist())
+        assert set(digest[(owner == i) & (side < 0)].tolist()) == set(np.setdiff1d(y, x).tolist())
+    small = [fpr.sketch(x, 6) for x in (sets, others)]
+    assert not fpr.peel(fpr.subtract(*small))[0].all()
+    lost, new = fpr.differences(sets, others, *small)
+    assert lost.tolist() == [len(np.setdiff1d(x, y)) for x, y in zip(sets, others, strict=True)]
+    assert new.tolist() == [len(np.setdiff1d(y, x)) for x, y in zip(sets, others, strict=True)]
+    like = fpr.likeness(sets, others, lost + new)
+    assert like[3] == pytest.approx(1 - (5 + 3) / (50 + 48))
+    none = [np.empty(0, np.uint64)]
+    assert fpr.likeness(none, none, np.zeros(1)).tolist() == [1.0]
+    # A digest twice in one set never peels; retries end all the same.
+    twice = [np.array([5, 5, 9], np.uint64)]
+    assert [x.tolist() for x in fpr.differences(twice, none, fpr.sketch(twice, 15), fpr.sketch(none, 15))] == [[2], [0]]
 
 
 def test_version_fingerprints_in_order(spark):
@@ -229,6 +241,11 @@ def test_version_fingerprints_in_order(spark):
         edited = t[: len(t) - half] + nxt[:half]
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert got[i]["n_chars"] == len(t)
+        mine, new, after = (set(fpr.paragraph_digests(x.encode()).tolist()) for x in (t, edited, nxt))
+        for near, other in (("near_edited", new), ("near_next", after)):
+            assert got[i][near] == pytest.approx(1 - len(mine ^ other) / (len(mine) + len(other)) if mine or other else 1.0)
+        assert (got[i]["lost_edited"], got[i]["new_edited"]) == (len(mine - new), len(new - mine))
+        assert got[i]["fingerprint"] == fpr.sketch([np.array(sorted(mine), np.uint64)], 15)[0].tobytes().hex()
     assert got[501]["fingerprint"] == got[502]["fingerprint"] and got[501]["near_next"] == 1.0
 
 
@@ -264,6 +281,39 @@ def test_line_dedup_against_brute_force(spark):
         assert got[i]["n_dropped"] == len(t.split("\n")) - len(keep)
 
 
+def test_many_shared_lines_are_linear(spark):
+    import time
+
+    text = "\n".join(f"a shared line with number {i}" for i in range(16_000))
+    began = time.time()
+    got = {r["doc_id"]: r for r in dedup_lines(docs(spark, [(i, text + f"\nown {i}", "a") for i in range(3)])).collect()}
+    assert time.time() - began < 20
+    assert [got[i]["text"] for i in range(3)] == ["own 0", "own 1", text + "\nown 2"] and got[0]["n_dropped"] == 16_000
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    shared = "this line is long enough to count"
+    rows = [(1, f"first\n{shared}", "a"), (1, f"{shared}\nsecond", "a"), (2, f"{shared}\n{shared}", "a"), (3, shared, "a"), (1, None, "b"), (4, f"\n{shared}x\n", "a")]
+    got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in dedup_lines(docs(spark, [x for x in rows if x[1] is not None])).collect())
+    assert got == [(1, "first", 2, 1), (1, "second", 2, 1), (2, "", 2, 2), (3, shared, 1, 0), (4, f"\n{shared}x\n", 3, 0)]
+    assert [r["text"] for r in dedup_lines(docs(spark, rows)).where("source = 'b'").collect()] == [None]
+
+
+def test_training_rows_are_in_order_of_position(spark):
+    from hypergraph_spark.llm.mixing import CURRICULUM, training_rows
+
+    rows = [(i, word_salad(i, 5 + i % 20), "abc"[i % 3]) for i in range(120)]
+    df = docs(spark, rows, clash=True)
+    mixed = {r["doc_id"]: r for r in curriculum_mix(df, schedules=CURRICULUM).collect()}
+    out = training_rows(df, schedules=CURRICULUM)
+    assert out.columns == df.columns
+    got = out.collect()
+    want = sorted((p, i) for i, r in mixed.items() for p in r["positions"])
+    assert [r["doc_id"] for r in got] == [i for _, i in want] and {r["taken"] for r in got} == {"x"}
+    early = Counter(r["source"] for r in got[: len(got) // 4])
+    assert early["a"] > early["c"]
+
+
 def test_targets_fill_by_weight(spark):
     sizes = {"a": 10, "b": 1000, "c": 500, None: 90}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -355,6 +405,59 @@ def test_toxicity_learns_terms_misspellings_and_quotes(spark):
     assert score[1] >= 0.5 > score[2]
 
 
+def test_scores_against_plain_features(spark):
+    """A document's score from edit distances to every entry, word by word."""
+    rows, labels = [], []
+    for i in range(240):
+        text = word_salad(i, 30) + (f" you {['dreadfool', 'stinkhead'][i % 2]}" if i % 5 == 0 else "")
+        rows.append((i, text, "a"))
+        labels.append((i, 0, int(i % 5 == 0)))
+    rows += [(900, "a dreadfol and a stinkheads", "a"), (901, 'they said "dreadfool" today', "a"), (902, None, "a"), (903, "DREADFOOL", "a")]
+    df = docs(spark, rows)
+    model = fit_toxicity(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.entries
+
+    def nearest(w):
+        found = []
+        for i, e in enumerate(model.entries):
+            stem = e.rstrip("*")
+            ends = range(len(w) + 1) if e.endswith("*") else [len(w)]
+            d = min(edits(w[:k], stem) for k in ends)
+            if d == 0 or d == 1 and len(stem) >= 5:
+                found.append((d, i))
+        return min(found, default=None)
+
+    import re
+
+    got = {r["doc_id"]: r["score"] for r in score_rows(df, model).collect()}
+    for i, text, _ in rows[::7] + rows[-4:]:
+        low = (text or "").lower()
+        abuse, quote, bad = [], [], 0
+        for m in re.finditer(r"[^\W\d_]+", low):
+            if hit := nearest(m.group()):
+                w = float((model.near if hit[0] else model.exact)[hit[1]])
+                bad += hit[0] > 0
+                left, right = low[max(0, m.start() - model.window) : m.start()], low[m.end() : m.end() + model.window]
+                cited = '"' in left and '"' in right or re.search(r"\bsaid\b", left)
+                (quote if cited else abuse).append(w)
+        x = [max([0.0, *abuse]), np.log1p(sum(max(w, 0) for w in abuse)), np.log1p(len(abuse)), max([0.0, *quote]), np.log1p(len(quote)), np.log1p(bad)]
+        want = 1 / (1 + np.exp(-(model.weights[0] + np.dot(x, model.weights[1:]))))
+        assert got[i] == pytest.approx(want), i
+
+
+def test_a_repeated_id_does_not_multiply_the_sample(spark):
+    from hypergraph_spark.llm import toxicity
+
+    df = docs(spark, [(1, "vile wordery", "a")] * 50 + [(2, "fine words", "a")])
+    seen, keep = [], toxicity.materialize
+    toxicity.materialize = lambda d, tag: seen.append(out := keep(d, tag)) or out
+    try:
+        fit_toxicity(df, spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int"))
+    finally:
+        toxicity.materialize = keep
+    assert seen[0].count() == 2
+
+
 # --- suffixes -----------------------------------------------------------------------------------------------------
 
 
@@ -486,10 +589,96 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_main_text():
-    assert ht.main_text(PAGE, set()) == "Head & Title\nOne bold text.\nNext\nTwo <x>\ni\nj"
-    assert ht.main_text("", set()) == "" and ht.main_text("<p>unclosed <b>bold", set()) == "unclosed bold"
-    assert ht.main_text("a < b <!-- c --> d", set()) == "a < b d"
-    assert ht.main_text("<div>" * 5000 + "deep" + "</div>" * 5000, set()) == "deep"
+    assert ht.main_text(PAGE) == "Head & Title\nOne bold text.\nNext\nTwo <x>\ni\nj"
+    assert ht.main_text("") == "" and ht.main_text("<p>unclosed <b>bold") == "unclosed bold"
+    assert ht.main_text("a < b <!-- c --> d") == "a < b d"
+    assert ht.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    assert ht.main_text('<article><div class="article-header"><h1>Title</h1></div><p>x</p></article>') == "Title\nx"
+    assert ht.main_text("<main><p>intro</p><article><p>x</p></article></main>") == "intro\nx"
+    assert ht.main_text('<article><p class="meta">m</p><table class="side"><tr><td>a<td>b</table></article>') == "m\na\nb"
+    assert ht.main_text("<p title='a>b'>q</p><p>x <a href=\"foo>y</a> z<p>w") == "q\nx y z\nw"
+    # A part's name is a prior only: it does not take most of the page's text away.
+    assert ht.main_text("<div class='related'><p>The whole long text of this page</p></div><p>end</p>") == "The whole long text of this page\nend"
+
+
+@pytest.mark.parametrize("part", ['<a b="', "<div>a", "<b><li>", "</zzz>", "<p><svg>", "<a b='\"'", "< ", "<i>", "<td><i>"])
+def test_pages_parse_in_linear_time(part):
+    import time
+
+    took = []
+    for n in (100_000, 400_000):
+        began = time.time()
+        ht.main_text(part * (n // len(part)))
+        took.append(time.time() - began)
+    assert took[1] < 12 * max(took[0], 0.05)
+
+
+def labelled_site(rng, pages):
+    """(html, main text) of pages of one template: strips, related lists and bars without telling names, texts of their own."""
+    strips = [word_salad(f"strip{i}", 12) for i in range(3)]
+    out = []
+    for i in range(pages):
+        paragraphs = [word_salad(f"{i} {j} {rng.random()}", rng.randrange(15, 60), 5000) for j in range(rng.randrange(1, 7))]
+        title = word_salad(f"title{i}", 6, 5000)
+        links = "".join(f"<li><a href='/{k}'>section {k}</a></li>" for k in range(8))
+        body = f"<div class='x1'><ul>{links}</ul></div><div class='x2'><div class='hd'><h1>{title}</h1></div>"
+        body += "".join(f"<p>{p}</p>" + (f"<div class='x3'><p>{strips[0]}</p></div>" if j == 0 else "") for j, p in enumerate(paragraphs))
+        body += f"</div><div class='x4'><p>{strips[1]}</p><p>{strips[2]}</p></div>"
+        out.append((f"<html><body>{body}</body></html>" if i % 2 else f"<html><body>{body.replace('x2', 'x2 wide')}</body></html>", "\n".join([title, *paragraphs])))
+    return out
+
+
+def test_style_trees_against_labelled_pages(spark):
+    rng = random.Random(5)
+    made = labelled_site(rng, 60)
+    marked = [(h.replace("<body>", "<body><article>").replace("</body>", "</article></body>"), t) for h, t in labelled_site(rng, 60)]
+    rows = [(i, "http://plain.example/a", h) for i, (h, _) in enumerate(made)] + [(100 + i, "http://marked.example/a", h) for i, (h, _) in enumerate(marked)]
+    want = {i: t for i, (_, t) in enumerate(made)} | {100 + i: t for i, (_, t) in enumerate(marked)}
+    got = {r["page_id"]: r["text"] for r in ht.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    hit = sum(sum((Counter(got[i].split()) & Counter(want[i].split())).values()) for i in want)
+    assert hit / sum(len(got[i].split()) for i in want) > 0.98, "precision"
+    assert hit / sum(len(t.split()) for t in want.values()) > 0.98, "recall"
+
+
+def slow_tree(pages, enough=8, decay=0.9):
+    """Importance by (path) of one host's pages, by recursion over a dict of nodes."""
+    import math
+
+    nodes = defaultdict(lambda: {"styles": Counter(), "blocks": Counter(), "mass": 0})
+    for page in pages:
+        blocks, styles = ht.read_page(page)
+        blocks = ht.candidates(blocks)
+        for path, text in {(b.path, b.text) for b in blocks}:
+            nodes[path]["blocks"][text] += 1
+        for b in blocks:
+            nodes[b.path]["mass"] += len(b.text)
+        for path in {tuple(b.path.split("/")[:k]) for b in blocks for k in range(1, b.path.count("/") + 2)}:
+            nodes["/".join(path)]["styles"][tuple(sorted(set(styles.get(path, ()))))] += 1
+
+    def weigh(path):
+        x = nodes[path]
+        m = sum(x["styles"].values())
+        base = math.log(max(m, enough))
+        n = sum(x["blocks"].values())
+        own = 1 - min(1, sum(k * math.log(k) for k in x["blocks"].values()) / n / base) if n else 0
+        shown = sum(-k / m * math.log(k / m) for k in x["styles"].values()) / base
+        stay = decay ** (len(x["styles"]) - 1)
+        below = [weigh(c) for c in list(nodes) if c.rpartition("/")[0] == path]
+        mass = x["mass"] + sum(w[0] for w in below)
+        value = (1 - stay) * shown * mass + stay * (x["mass"] * own + sum(w[0] * w[1] for w in below))
+        out[path] = value / max(mass, 1)
+        return mass, out[path]
+
+    out = {}
+    weigh("#")
+    return out
+
+
+def test_style_tree_against_recursion(spark):
+    pages = [h for h, _ in labelled_site(random.Random(6), 20)]
+    df = spark.createDataFrame([(i, "http://h.example/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["path"]: r["importance"] for r in ht.style_tree(ht.read_pages(df, ["page_id"], "html", "url")).collect()}
+    assert got == pytest.approx(slow_tree(pages)) and len(got) > 10
 
 
 def test_style_trees_drop_repeated_branches(spark):
