@@ -145,7 +145,12 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, a
     at `radius` bits, rows that share a linked passage are candidates, and of those, pairs that sizes and bitmaps do
     not rule out (see _possible) are verified on bottom sketches of
     k-word shingles (exact under 512 distinct shingles, an estimate above). Pairs whose estimate is within UNSURE of
-    the similarity are verified on all distinct shingles of both texts. Groups of candidates are dealt out as pairs of blocks; each block links a star per similar set.
+    the similarity are verified on all distinct shingles of both texts.
+
+    Candidates of a class that fit a block are compared there, and a star links each similar set. A larger class is
+    compared block by block, then by one row for each set found; rows of its largest set are done with that, and
+    the others meet all blocks. So a class of near copies moves each row a few times, whatever its size, and
+    only rows that are like few others of a large class cost a comparison with all of it.
 
     A text of up to SHORT distinct shingles has too few passages for that. Its partners have at most SHORT / similarity
     of them, and all such texts are candidates by shared prefixes, which lose no pair (see _prefixes).
@@ -169,51 +174,131 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, a
     distinct = materialize(seg.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "near-passages")
     linked = connected_components(link_fingerprints(distinct.select("fp"), radius))
     classes = distinct.select("fp", "n").join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("class"))
-    size = classes.groupBy("class").agg(F.sum("n").alias("members")).where(F.col("members") > 1)
-    shared = classes.join(size, "class").select("fp", "class", F.ceil(F.col("members") / block_rows).cast("int").alias("k"))
+    shared = classes.join(classes.groupBy("class").agg(F.sum("n").alias("members")).where(F.col("members") > 1), "class").select("fp", "class")
     # Row and class once, whichever passages they share.
-    cand = seg.join(shared, "fp").groupBy("class", "row").agg(F.max("k").alias("k")).withColumn("by", F.lit(0))
+    cand = seg.join(shared, "fp").select("class", "row").distinct().withColumn("by", F.lit(0))
     brief = _prefixes(made.where(F.col("short").isNotNull()).select("row", "short"), similarity)
-    size = brief.groupBy("class").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    brief = brief.join(size.select("class", F.ceil(F.col("members") / block_rows).cast("int").alias("k")), "class")
     cand = cand.unionByName(brief.withColumn("by", F.lit(1)))
-    cand = cand.join(made.select("row", "size", "bottom"), "row")
-    own = F.pmod(F.xxhash64("row"), F.col("k")).cast("int")
-    cand = cand.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cand = cand.select("by", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "size", "bottom")
+    size = cand.groupBy("by", "class").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    size = size.select("by", "class", F.ceil(F.col("members") / block_rows).cast("int").alias("k"))
+    cand = cand.join(size, ["by", "class"]).withColumn("own", F.pmod(F.xxhash64("row"), F.col("k")).cast("int"))
+    cand = materialize(cand.select("by", "class", "row", "k", "own"), "near-candidates")
+    sketched = made.select("row", "size", "bottom")
+
+    # 1. Every class in blocks of some block_rows rows: a star for each similar set of a block.
+    link = _within(similarity)
+    found = materialize(cand.join(sketched, "row").groupBy("by", "class", "own").applyInPandas(link, _LINKS), "near-links")
+    large = cand.where(F.col("k") > 1)
+    if large.isEmpty():
+        return _verified(found, docs, k, similarity)
+    # 2. In classes of several blocks, one row for each set found, against each other.
+    sets = _sets(large, found)
+    stand = sets.groupBy("by", "class", "set").agg(F.min("row").alias("row"))
+    blocks = stand.groupBy("by", "class").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("k"))
+    stand = stand.join(blocks, ["by", "class"]).join(sketched, "row").withColumn("own", F.pmod(F.xxhash64("row", "class"), F.col("k")).cast("int"))
+    stand = stand.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    found = found.unionByName(materialize(stand.groupBy("by", "class", "i", "j").applyInPandas(link, _LINKS), "near-links"))
+    # 3. Rows outside their class's largest set have met their own block only: they go to all its blocks.
+    sets = materialize(_sets(large, found), "near-sets")
+    weight = sets.groupBy("by", "class", "set").agg(F.count(F.lit(1)).alias("n"))
+    main = weight.groupBy("by", "class").agg(F.max_by("set", F.struct("n", "set")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("n"))
+    main = main.select("by", "class", "main", F.ceil((F.col("all") - F.col("n")) / block_rows).cast("int").alias("guests")).where(F.col("guests") > 0)
+    each = sets.join(main, ["by", "class"]).join(sketched, "row")
+    stays = each.select("by", "class", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("j"), F.lit(False).alias("guest"), "set", "row", "size", "bottom")
+    goes = each.where(F.col("set") != F.col("main")).withColumn("j", F.pmod(F.xxhash64("row", "class"), F.col("guests")).cast("int"))
+    goes = goes.select("by", "class", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), "j", F.lit(True).alias("guest"), "set", "row", "size", "bottom")
+    met = stays.unionByName(goes).groupBy("by", "class", "i", "j").applyInPandas(_across(similarity), _LINKS)
+    return _verified(found.unionByName(materialize(met, "near-links")), docs, k, similarity)
+
+
+_LINKS = "u long, v long, sure boolean"
+
+
+def _sets(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with `set`: the least row that the sure links found join each one to, itself if none."""
+    roots = connected_components(found.where("sure").select("u", "v"))
+    return rows.join(roots.select(F.col("node").alias("row"), F.col("root").alias("set")), "row", "left").withColumn("set", F.coalesce("set", "row"))
+
+
+def _verified(found: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    verified = _similar_pairs(found.where(~F.col("sure")).select("u", "v").distinct(), docs, k, similarity)
+    return found.where("sure").select("u", "v").unionByName(verified)
+
+
+def _links(out: list[tuple[int, int, bool]]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["u", "v", "sure"]).astype({"u": "int64", "v": "int64", "sure": "bool"})
+
+
+class _Sketches:
+    """The sketches of a group's rows, and which of them are similar."""
+
+    def __init__(self, group: pd.DataFrame, similarity: float):
+        self.rows, self.size = group["row"].to_numpy(np.int64), group["size"].to_numpy(np.int64)
+        self.sketches = [np.frombuffer(b, "<u4") for b in group["bottom"]]
+        self.held, self.maps = np.fromiter(map(len, self.sketches), np.int64, len(self.sketches)), _bitmaps(self.sketches)
+        self.similarity = similarity
+
+    def near(self, a: int, others: np.ndarray) -> Iterator[tuple[int, bool]]:
+        """(other, sure) of those that are similar to a, or may be as far as sketches tell."""
+        for b in others[_possible(a, others, self.size, self.held, self.maps, self.similarity)].tolist():
+            found = sketch_similarity(self.sketches[a], self.sketches[b])
+            margin = UNSURE if max(self.held[a], self.held[b]) >= SKETCH else 0
+            if found >= self.similarity + margin:
+                yield b, True
+            elif margin and found >= self.similarity - margin:
+                yield b, False
+
+
+def _within(similarity: float):
+    """Links of a star for each similar set of a group's rows, and the pairs that are not sure."""
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("row")
-        rows, size = group["row"].to_numpy(np.int64), group["size"].to_numpy(np.int64)
-        sketches = [np.frombuffer(b, "<u4") for b in group["bottom"]]
-        held, maps = np.fromiter(map(len, sketches), np.int64, len(sketches)), _bitmaps(sketches)
-        out, unsure, left, star = [], [], np.arange(len(rows)), np.arange(len(rows))
+        g = _Sketches(group.drop_duplicates("row"), similarity)
+        out, unsure, left, star = [], [], np.arange(len(g.rows)), np.arange(len(g.rows))
         while len(left) > 1:
             root, frontier = left[-1], [left[-1]]
             left = left[:-1]
             while frontier and len(left):
                 a = frontier.pop()
-                near = left[_possible(a, left, size, held, maps, similarity)]
                 got = []
-                for b in near.tolist():
-                    found = sketch_similarity(sketches[a], sketches[b])
-                    margin = UNSURE if max(held[a], held[b]) >= SKETCH else 0
-                    if found >= similarity + margin:
+                for b, sure in g.near(a, left):
+                    if sure:
                         got.append(b)
-                    elif margin and found >= similarity - margin:
+                    else:
                         unsure.append((a, b))
                 if got:
-                    out += [(rows[root], rows[b], True) for b in got]
+                    out += [(g.rows[root], g.rows[b], True) for b in got]
                     star[got] = root
                     frontier += got
                     left = left[~np.isin(left, got)]
         # What other members link needs no verification.
-        out += [(min(rows[a], rows[b]), max(rows[a], rows[b]), False) for a, b in unsure if star[a] != star[b]]
-        return pd.DataFrame(out, columns=["u", "v", "sure"]).astype({"u": "int64", "v": "int64", "sure": "bool"})
+        return _links(out + [(min(g.rows[a], g.rows[b]), max(g.rows[a], g.rows[b]), False) for a, b in unsure if star[a] != star[b]])
 
-    found = materialize(cand.groupBy("by", "class", "i", "j").applyInPandas(link, "u long, v long, sure boolean"), "near-links")
-    verified = _similar_pairs(found.where(~F.col("sure")).select("u", "v").distinct(), docs, k, similarity)
-    return found.where("sure").select("u", "v").unionByName(verified)
+    return link
+
+
+def _across(similarity: float):
+    """Links between a group's guests and the rows of other sets: one for each two sets, and the pairs that are not sure."""
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        g = _Sketches(group, similarity)
+        sets, guest = group["set"].to_numpy(np.int64), group["guest"].to_numpy(bool)
+        local = np.flatnonzero(~guest)
+        joined: set[tuple[int, int]] = set()
+        out, unsure = [], []
+        for a in np.flatnonzero(guest).tolist():
+            for b, sure in g.near(a, local[sets[local] != sets[a]]):
+                pair = (min(sets[a], sets[b]), max(sets[a], sets[b]))
+                if pair in joined:
+                    continue
+                if sure:
+                    joined.add(pair)
+                    out.append((g.rows[a], g.rows[b], True))
+                else:
+                    unsure.append((pair, (min(g.rows[a], g.rows[b]), max(g.rows[a], g.rows[b]), False)))
+        return _links(out + [x for pair, x in unsure if pair not in joined])
+
+    return link
 
 
 def _similar_pairs(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
