@@ -182,6 +182,42 @@ def test_links_in_small_blocks(spark):
     assert {r["root"] for r in got.collect()} == {0}
 
 
+def test_copies_per_row_stay_bounded(spark):
+    """Leaves stay of one size as rows grow, so a row goes to some more leaves only: 1.2 times as many at double the rows."""
+    from pyspark.sql import functions as F
+
+    from hypergraph_spark.llm.vptree import HALVES, fit_trees
+
+    points = np.random.default_rng(1).integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2)
+    copies = []
+    for n in (10_000, 100_000, 1_000_000):
+        trees = fit_trees(spark.range(n).select(F.xxhash64("id").alias("fp")), n, HALVES, 1, 512, 2048)
+        own = np.bincount(trees[0].home(points), minlength=trees[0].leaves)
+        assert own.max() < 8 * 512 * len(points) / n + 30
+        copies.append(sum(len(t.visit(points)[0]) for t in trees) / len(points))
+    assert copies[2] < 2.5 * copies[1] < 6.5 * copies[0]
+
+
+def test_grafted_trees_meet_every_pair(spark):
+    from hypergraph_spark.llm.vptree import HALVES, fit_trees
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    points = np.unique(np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 63, 3000).astype(np.uint64)), np.arange(500, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
+    trees = fit_trees(df, len(points), HALVES, 1, 32, 64)
+    assert all(t.leaves > 64 // 16 for t in trees)
+    for t in trees:
+        assert (np.sort(np.unique(t.home(points))) < t.leaves).all()
+        leaves = defaultdict(set)
+        for i, leaf in zip(*t.visit(points), strict=True):
+            leaves[int(i)].add(int(leaf))
+        assert all(int(h) in leaves[i] for i, h in enumerate(t.home(points)))
+        for i in range(0, len(points), 7):
+            d = np.bitwise_count((points ^ points[i]) & np.uint64(t.mask))
+            assert all(leaves[i] & leaves[int(j)] for j in np.flatnonzero(d <= 1))
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "u long, v long")
     got = {r["node"]: r["root"] for r in connected_components(e).collect()}
@@ -730,6 +766,41 @@ def kept_of_pairs(spark, pairs):
     return {i for i in range(len(pairs)) if 2 * i + 1 not in kept}
 
 
+def test_links_of_classes_over_many_blocks(spark):
+    """A class larger than its blocks keeps every component, however its rows fall into blocks."""
+    from hypergraph_spark.llm.simhash import near_duplicate_links
+
+    head = [f"h{i}" for i in range(40)]
+    texts = [" ".join([*head, *[f"c{g}x{i}" for i in range(200)], f"e{g}x{j}"]) for g in range(6) for j in range(1 + 7 * g)]
+    # A chain, each text like the next only.
+    chain = [f"z{i}" for i in range(900)]
+    texts += [" ".join([*head, *chain[30 * j : 30 * j + 260]]) for j in range(20)]
+    want = {i: i for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            if distinct_similarity(texts[i], texts[j]) >= 0.8 and want[i] != want[j]:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = {x: new if y == old else y for x, y in want.items()}
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {r["node"]: r["root"] for r in connected_components(near_duplicate_links(df, block_rows=8)).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_near_duplicate_recall_against_all_pairs(spark):
+    """Of all pairs of long texts at 0.8 or more, with edits strewn over them, 0.99 or more are found."""
+    rng = random.Random(9)
+    pairs = []
+    for i in range(300):
+        w = [f"q{i}x{j}" for j in range(rng.randrange(90, 700))]
+        v = list(w)
+        for _ in range(rng.randrange(1, max(2, len(w) // 40))):
+            v[rng.randrange(len(v))] = f"new{rng.random()}"
+        pairs.append((" ".join(w), " ".join(v)))
+    want = {i for i, (a, b) in enumerate(pairs) if distinct_similarity(a, b) >= 0.8}
+    got = kept_of_pairs(spark, pairs)
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 150
+
+
 def test_near_duplicates_among_short_texts(spark):
     """One-word edits of texts of 5 to 20 words go exactly if the distinct shingles are similar enough."""
     pairs = []
