@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,9 +141,9 @@ class LoserTree:
                 node //= 2
 
 
-def _encode(entries: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
-    """A sorted run, front-coded: each suffix as the length it shares with the one before and the rest."""
-    out, before = [], b""
+def _encode(entries: list[tuple[bytes, bytes, int, int, int]], before: bytes = b"") -> bytes:
+    """A part of a sorted run, front-coded: each suffix as the length it shares with the one before and the rest."""
+    out = []
     for key, left, doc, th, pos in entries:
         n = common_prefix(before, key, 0)
         out += [_HEAD.pack(doc, th, pos, len(left), n, len(key) - n), left, key[n:]]
@@ -151,42 +152,63 @@ def _encode(entries: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
 
 
 def _decode(blobs: list[bytes]) -> Iterator[tuple[int, bytes, tuple]]:
+    """The entries of a run's parts in order; what the parts say of shared prefixes is taken as it is."""
     before = b""
     for blob in blobs:
         at = 0
-        first = True
         while at < len(blob):
             doc, th, pos, nleft, n, rest = _HEAD.unpack_from(blob, at)
             at += _HEAD.size
             left = blob[at : at + nleft]
             at += nleft
-            key = (b"" if first else before)[:n] + blob[at : at + rest]
+            before = before[:n] + blob[at : at + rest]
             at += rest
-            shared = common_prefix(before, key, 0) if first else n
-            first, before = False, key
-            yield shared, key, (doc, th, pos, left)
+            yield n, before, (doc, th, pos, left)
 
 
-def _resolve(keys_shared: list[int], lens: list[int], payload: list[tuple], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(id, text hash, start, end) of the bytes that the anchors' repeated strings cover.
+class _Entries:
+    """Entries in suffix order as flat arrays, some 200 bytes each, so that a very common anchor fits in a task."""
+
+    def __init__(self, reach: int):
+        self.reach = reach
+        self.shared, self.size, self.nleft, self.pos = array("i"), array("i"), array("i"), array("i")
+        self.doc, self.th, self.lefts = array("q"), array("q"), bytearray()
+
+    def add(self, shared: int, key: bytes, payload: tuple[int, int, int, bytes]) -> None:
+        doc, th, pos, left = payload
+        for column, x in ((self.shared, shared), (self.size, len(key)), (self.nleft, len(left)), (self.pos, pos), (self.doc, doc), (self.th, th)):
+            column.append(x)
+        self.lefts += left[::-1].ljust(self.reach, b"\0")
+
+    def __len__(self) -> int:
+        return len(self.pos)
+
+
+def _left_hashes(lefts: np.ndarray, rows: np.ndarray, o: int) -> np.ndarray:
+    """Hashes of the first o bytes of the given rows, in portions."""
+    out = np.zeros(len(rows), np.uint64)
+    weights = _POWER[:o]
+    for a in range(0, len(rows), 8192):
+        out[a : a + 8192] = ((lefts[rows[a : a + 8192], :o].astype(np.uint64) + np.uint64(1)) * weights).sum(axis=1, dtype=np.uint64)
+    return out
+
+
+_POWER = np.multiply.accumulate(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def _resolve(entries: _Entries, length: int) -> np.ndarray:
+    """Rows (id, text hash, start, end) of the bytes that the anchors' repeated strings cover.
 
     The entries are one or more whole groups of equal anchors in suffix order. For a start `o` bytes before its
     anchor, two entries hold the same string if they share length - o bytes after the anchor (a segment of the
-    suffix order, by the shared prefixes) and o bytes before it (a running hash of the reversed left context).
+    suffix order, by the shared prefixes) and o bytes before it (a hash of the reversed left context).
     """
-    n, reach = len(payload), length - GRAM
-    shared = np.array(keys_shared, np.int64) - 8
-    size = np.array(lens, np.int64) - 8
-    nleft = np.array([len(p[3]) for p in payload], np.int64)
+    n, reach = len(entries), length - GRAM
+    shared = np.array(entries.shared, np.int64) - 8
+    shared[0] = -8
+    size, nleft = np.array(entries.size, np.int64) - 8, np.array(entries.nleft, np.int64)
     group = np.cumsum(shared < GRAM)
-    lefts = np.zeros((n, reach), np.uint8)
-    for i, p in enumerate(payload):
-        if p[3]:
-            lefts[i, : len(p[3])] = np.frombuffer(p[3], np.uint8)[::-1]
-    hashes = np.zeros((n, reach + 1), np.uint64)
-    for o in range(reach):
-        hashes[:, o + 1] = hashes[:, o] * np.uint64(0x9E3779B97F4A7C15) + lefts[:, o] + np.uint64(1)
-    del lefts
+    lefts = np.frombuffer(entries.lefts, np.uint8).reshape(n, reach)
     best = np.full((2, n), -1, np.int64)  # least and greatest start offset that repeats
     for way, offsets in ((0, range(reach + 1)), (1, range(reach, -1, -1))):
         live = np.arange(n)
@@ -196,7 +218,7 @@ def _resolve(keys_shared: list[int], lens: list[int], payload: list[tuple], leng
                 continue
             # A segment breaks where neighbours share less; group numbers are part of it.
             seg = np.cumsum(shared < length - o)[fits].astype(np.uint64)
-            key = mix(mix(hashes[fits, o]) + seg * np.uint64(0x9E3779B97F4A7C15))
+            key = mix(mix(_left_hashes(lefts, fits, o)) + seg * np.uint64(0x9E3779B97F4A7C15))
             order = np.argsort(key, kind="stable")
             k = key[order]
             new = np.concatenate(([True], k[1:] != k[:-1]))
@@ -214,9 +236,9 @@ def _resolve(keys_shared: list[int], lens: list[int], payload: list[tuple], leng
             live = np.flatnonzero(need[group])
             if not len(live):
                 break
-    for i in np.flatnonzero((best[0] >= 0) & (best[1] >= 0)).tolist():
-        doc, th, pos, _ = payload[i]
-        yield doc, th, pos - int(best[1, i]), pos + length - int(best[0, i])
+    at = np.flatnonzero((best[0] >= 0) & (best[1] >= 0))
+    pos = np.array(entries.pos, np.int64)[at]
+    return np.stack([np.array(entries.doc, np.int64)[at], np.array(entries.th, np.int64)[at], pos - best[1, at], pos + length - best[0, at]], axis=1)
 
 
 def _settle(entries: list[tuple[bytes, bytes, int, int, int]], length: int) -> tuple[list[tuple], list[tuple[int, int, int, int]]]:
@@ -306,7 +328,7 @@ def _spans(found: DataFrame, keyed: DataFrame, length: int, run_bytes: int, rang
             for r, entries in enumerate(held):
                 entries.sort()
                 kept, spans = _settle(entries, length)
-                blobs = [_encode(kept[a : a + 4096]) for a in range(0, len(kept), 4096)]
+                blobs = [_encode(kept[a : a + 4096], kept[a - 1][0] if a else b"") for a in range(0, len(kept), 4096)]
                 rows = [(r, number, k, blob) for k, blob in enumerate(blobs)]
                 if spans:
                     rows.append((-1 - r, number, 0, np.array(spans, np.int64).tobytes()))
@@ -335,8 +357,8 @@ def _spans(found: DataFrame, keyed: DataFrame, length: int, run_bytes: int, rang
     coded = coded.repartitionById(ranges, F.when(F.col("range") < 0, -1 - F.col("range")).otherwise(F.col("range"))).sortWithinPartitions("range", "run", "seq")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["__id", "__th", "a", "b"])
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], names=["__id", "__th", "a", "b"])
 
         def ranges_of() -> Iterator[list[list[bytes]]]:
             at, run, blobs = None, None, []
@@ -359,20 +381,18 @@ def _spans(found: DataFrame, keyed: DataFrame, length: int, run_bytes: int, rang
         settled: list[bytes] = []
         for blobs in ranges_of():
             while settled:
-                yield out(np.frombuffer(settled.pop(), np.int64).reshape(-1, 4).tolist())
-            shared, lens, payload = [], [], []
+                yield out(np.frombuffer(settled.pop(), np.int64).reshape(-1, 4))
+            entries = _Entries(reach)
             for n, key, p in LoserTree([_decode(b) for b in blobs]):
                 # Whole groups only: a group ends where the anchor's own bytes differ.
-                if n < 8 + GRAM and len(payload) >= 20_000:
-                    yield out(list(_resolve(shared, lens, payload, length)))
-                    shared, lens, payload = [], [], []
-                shared.append(n if payload else 0)
-                lens.append(len(key))
-                payload.append(p)
-            if payload:
-                yield out(list(_resolve(shared, lens, payload, length)))
+                if n < 8 + GRAM and len(entries) >= 20_000:
+                    yield out(_resolve(entries, length))
+                    entries = _Entries(reach)
+                entries.add(n, key, p)
+            if len(entries):
+                yield out(_resolve(entries, length))
         while settled:
-            yield out(np.frombuffer(settled.pop(), np.int64).reshape(-1, 4).tolist())
+            yield out(np.frombuffer(settled.pop(), np.int64).reshape(-1, 4))
 
     spans = coded.select("range", "run.p", "run.run", "blob").mapInArrow(merge, "__id long, __th long, a int, b int")
     return spans.groupBy("__id", "__th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))

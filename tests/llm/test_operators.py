@@ -547,8 +547,32 @@ def test_loser_tree_merges_and_knows_prefixes():
         assert n == sx.common_prefix(before, x, 0)
         before = x
     entries = sorted((bytes(rng.choices(b"ab", k=9)), b"left", 1, 2, i) for i in range(20))
-    back = list(sx._decode([sx._encode(entries[:11]), sx._encode(entries[11:])]))
+    back = list(sx._decode([sx._encode(entries[:11]), sx._encode(entries[11:], entries[10][0])]))
     assert [(k, p) for _, k, p in back] == [(e[0], (1, 2, e[4], b"left")) for e in entries]
+    assert [n for n, _, _ in back] == [0] + [sx.common_prefix(a[0], b[0], 0) for a, b in zip(entries, entries[1:], strict=False)]
+
+
+def test_a_very_common_anchor_fits_in_memory():
+    """Many entries of one anchor with contexts of their own: bounded bytes an entry, seconds, and the right pairs."""
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    n, reach = 60_000, 200 - sx.GRAM
+    after = np.sort(rng.integers(0, 2**63, n - 2, dtype=np.uint64))
+    gram = b"g" * (8 + sx.GRAM)
+    tracemalloc.start()
+    began, entries, before = time.time(), sx._Entries(reach), b""
+    for i, x in enumerate([0, 0, *after.tolist()]):  # the first two are alike
+        key = gram + x.to_bytes(8, "big") + b"k" * (reach - 8)
+        left = (b"same" if i < 2 else b"%08d" % i) + b"l" * (reach - 8)
+        entries.add(sx.common_prefix(before, key, 0), key, (i, 7, 1000, left))
+        before = key
+    got = sx._resolve(entries, 200)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:, 0].tolist()[:2] == [0, 1] and set(map(tuple, got[:2, 2:].tolist())) == {(1000 - 4 - (reach - 8), 1200)}
+    assert most < 1000 * n and time.time() - began < 60
 
 
 def test_anchors_cover_every_window():
