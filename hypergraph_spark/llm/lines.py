@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hypergraph_spark.llm.common import NULL_ID, ascii_lower, strip_ws
+from hypergraph_spark.llm.common import NULL_ID, ascii_lower, materialize, strip_ws
 
 
 def line_key(line: Column) -> Column:
@@ -38,10 +38,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     base = docs.select(*names).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__th", F.xxhash64(text))
     exploded = base.where(F.length("text") >= min_chars).select("__id", "__th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.length("line") >= min_chars)
     keyed = exploded.select("__id", "__th", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars).select(_digest(F.col("key")).alias("h"), "__id", "__th", "pos")
-    per_doc = keyed.groupBy("h", "__id").agg(F.collect_set(F.struct("__th", "pos")).alias("at"))
-    common = per_doc.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("__keep")).where(F.col("n") >= min_docs)
-    lost = per_doc.join(common.select("h", "__keep"), "h").where(F.col("__id") != F.col("__keep"))
-    lost = lost.select("__id", F.explode("at").alias("at")).groupBy("__id", "at.__th").agg(F.collect_list("at.pos").alias("__lost"))
+    keyed = materialize(keyed, "line-keys")
+    common = keyed.groupBy("h", "__id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("__keep"))
+    common = materialize(common.where(F.col("n") >= min_docs), "line-common")
+    # Lines that hold a thousandth of all are a thousand at most: they are broadcast, so that no task gathers their rows.
+    heavy = F.col("n") * 1000 >= max(1, keyed.count())
+    most, rest = F.broadcast(common.where(heavy).select("h", "__keep")), common.where(~heavy).select("h", "__keep")
+    found = keyed.join(most, "h").unionByName(keyed.join(most.select("h"), "h", "left_anti").join(rest, "h"))
+    lost = found.where(F.col("__id") != F.col("__keep")).groupBy("__id", "__th").agg(F.collect_set("pos").alias("__lost"))
     # Texts travel as their lines, so that each is split once and every line is then reached by its position.
     split = base.select(*[c for c in names if c != "text"], "__id", "__th", F.col("text").isNull().alias("__null"), F.split(text, "\n", -1).alias("__lines"))
     df = split.join(lost, ["__id", "__th"], "left")
