@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hypergraph_spark.llm.common import materialize
 from hypergraph_spark.llm.decontaminate import decontaminate
-from hypergraph_spark.llm.mixing import curriculum_mix
+from hypergraph_spark.llm.mixing import CURRICULUM, training_rows
 from hypergraph_spark.llm.sharding import shard_documents
 from hypergraph_spark.llm.simhash import drop_near_duplicates
 from hypergraph_spark.llm.toxicity import fit_toxicity, held_out, score_rows
@@ -32,8 +32,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for every time that the mix takes a document, in training order."""
-    mixed = curriculum_mix(docs).where(F.col("copies") > 0)
-    return mixed.withColumn("position", F.explode("positions")).select(*docs.columns)
+    return training_rows(docs, schedules=CURRICULUM)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
