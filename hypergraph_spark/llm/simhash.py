@@ -178,19 +178,20 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, similarity: float = 0.8, a
     # Row and class once, whichever passages they share.
     cand = seg.join(shared, "fp").select("class", "row").distinct().withColumn("by", F.lit(0))
     brief = _prefixes(made.where(F.col("short").isNotNull()).select("row", "short"), similarity)
-    cand = cand.unionByName(brief.withColumn("by", F.lit(1)))
+    cand = materialize(cand.unionByName(brief.withColumn("by", F.lit(1))), "near-candidates")
     size = cand.groupBy("by", "class").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    size = size.select("by", "class", F.ceil(F.col("members") / block_rows).cast("int").alias("k"))
+    # Written, so that a plain join remains, of which a class with many rows can be split.
+    size = materialize(size.select("by", "class", F.ceil(F.col("members") / block_rows).cast("int").alias("k")), "near-classes")
     cand = cand.join(size, ["by", "class"]).withColumn("own", F.pmod(F.xxhash64("row"), F.col("k")).cast("int"))
-    cand = materialize(cand.select("by", "class", "row", "k", "own"), "near-candidates")
+    cand = cand.select("by", "class", "row", "k", "own")
     sketched = made.select("row", "size", "bottom")
 
     # 1. Every class in blocks of some block_rows rows: a star for each similar set of a block.
     link = _within(similarity)
     found = materialize(cand.join(sketched, "row").groupBy("by", "class", "own").applyInPandas(link, _LINKS), "near-links")
-    large = cand.where(F.col("k") > 1)
-    if large.isEmpty():
+    if size.where(F.col("k") > 1).isEmpty():
         return _verified(found, docs, k, similarity)
+    large = materialize(cand.where(F.col("k") > 1), "near-large")
     # 2. In classes of several blocks, one row for each set found, against each other.
     sets = _sets(large, found)
     stand = sets.groupBy("by", "class", "set").agg(F.min("row").alias("row"))
