@@ -149,8 +149,8 @@ m AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.rank,
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, CASE WHEN mid < target THEN mid / target END AS s0, CASE WHEN mid + source_size < target THEN (mid + source_size) / target END AS s1 FROM m)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (greatest(0, ceil((target - mid) / greatest(source_size, 1))) * size)::BIGINT AS taken,
-       floor(CASE rank % 3 WHEN 0 THEN least(1.0::DOUBLE, 2 * s0 / (1.5::DOUBLE + sqrt(greatest(2.25::DOUBLE - 2 * s0, 0)))) WHEN 1 THEN s0 ELSE least(1.0::DOUBLE, 2 * s0 / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * s0))) END * 1000000)::BIGINT AS position,
-       floor(CASE rank % 3 WHEN 0 THEN least(1.0::DOUBLE, 2 * s1 / (1.5::DOUBLE + sqrt(greatest(2.25::DOUBLE - 2 * s1, 0)))) WHEN 1 THEN s1 ELSE least(1.0::DOUBLE, 2 * s1 / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * s1))) END * 1000000)::BIGINT AS next_position
+       floor(CASE WHEN s0 IS NULL THEN NULL WHEN rank % 3 = 0 THEN least(1.0::DOUBLE, 2 * s0 / (1.5::DOUBLE + sqrt(greatest(2.25::DOUBLE - 2 * s0, 0)))) WHEN rank % 3 = 1 THEN s0 ELSE least(1.0::DOUBLE, 2 * s0 / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * s0))) END * 1000000)::BIGINT AS position,
+       floor(CASE WHEN s1 IS NULL THEN NULL WHEN rank % 3 = 0 THEN least(1.0::DOUBLE, 2 * s1 / (1.5::DOUBLE + sqrt(greatest(2.25::DOUBLE - 2 * s1, 0)))) WHEN rank % 3 = 1 THEN s1 ELSE least(1.0::DOUBLE, 2 * s1 / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * s1))) END * 1000000)::BIGINT AS next_position
 FROM p
 """,
 }
