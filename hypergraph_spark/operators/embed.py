@@ -17,17 +17,31 @@ from hypergraph_spark.sources.lines import parse_line, update_lines
 DIM, ITERATIONS = 256, 40
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; only a local master may go without naming one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return base.rstrip("/")
+
+
 def durable(df: DataFrame, tag: str = "emb") -> DataFrame:
     """df written to the shared checkpoint folder and read back, which cuts its lineage and outlives executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def auto_iterations(feature_dim: int) -> int:
+    """The number of rounds where none is given: the same for every dimension."""
+    return ITERATIONS
+
+
 def initialize(graph: HyperGraph, dim: int = DIM, seed: int = 0) -> DataFrame:
     return graph.entities.select("entity_id", init_vector(F.col("entity_id"), dim, seed).alias("v"))
 
@@ -118,9 +132,9 @@ def embed(
     return x
 
 
-def embed_multiscale(graph: HyperGraph, feature_dim: int = DIM, scales: Iterable[int] = (1, 2, 4, 8), **options) -> DataFrame:
+def embed_multiscale(graph: HyperGraph, feature_dim: int = DIM, scales: Iterable[int] = (1, 2, 4, 8), initial: DataFrame | None = None, **options) -> DataFrame:
     """The embeddings after each of the sorted scales, side by side; scales share their rounds."""
-    out, x, done = None, None, 0
+    out, x, done = None, initial, 0
     for s in sorted(set(scales)):
         x = embed(graph, feature_dim, s - done, initial=x, **options) if s > done else (x if x is not None else initialize(graph, feature_dim))
         done = max(done, s)

@@ -175,8 +175,10 @@ class SparseOperator:
                     yield pa.RecordBatch.from_arrays([pa.array(at[starts], pa.int64()), pa.array([r.tobytes() for r in y], pa.binary())], names=["i", "y"])
 
         y = np.zeros_like(x, dtype=float)
-        for i, row in self.cells.select(out, by, "w").mapInArrow(run, "i long, y binary").toArrow().to_pandas().itertuples(index=False):
-            y[i] += np.frombuffer(row, float)
+        got = self.cells.select(out, by, "w").mapInArrow(run, "i long, y binary").toArrow()
+        if got.num_rows:
+            rows = np.frombuffer(b"".join(got.column("y").to_pylist()), float).reshape(got.num_rows, -1)
+            np.add.at(y, got.column("i").to_numpy(), rows)
         shared.destroy()
         return y
 

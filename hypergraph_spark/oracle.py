@@ -210,3 +210,31 @@ UNION ALL SELECT 'supplier', count(*) FROM (SELECT DISTINCT l_suppkey FROM linei
     "windowed_graph_daily": "SELECT date_trunc('day', ts) AS window_start, user_id::VARCHAR AS src, event_type AS dst, count(*) AS n FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2, 3",
     "file_hyperedges": "SELECT 'c' || o_custkey AS a, len(string_split(o_orderstatus || ' ' || o_orderpriority, ' '))::INTEGER AS n FROM orders",
 }
+
+_NR = _reflexive(_lines("SELECT 'n' || n_nationkey AS h, 'n' || n_nationkey AS x, 'r' || n_regionkey AS y FROM nation"))
+_SN = _reflexive(_lines("SELECT 's' || s_suppkey AS h, 's' || s_suppkey AS x, 'n' || s_nationkey AS y FROM supplier"))
+_IX = "ix AS (SELECT entity_id, row_number() OVER (ORDER BY entity_id) - 1 AS idx FROM ent)"
+_VALUES = "SELECT src, dst, round(value, 6) AS value, round(left_w, 6) AS left_w FROM g"
+
+ORACLE_SQL |= {
+    "ann_ball_tree": ORACLE_SQL["knn_topk"],
+    "graph_round_trip": _w(_NG, "SELECT src, dst, round(left_w, 6) AS left_w FROM g"),
+    "embeddings_round_trip": _w(_V, "SELECT entity_id, len(e)::INTEGER AS dims, round(list_sum(list_transform(e, lambda x: x * x)), 6) AS norm FROM v"),
+    "nation_neighbors": _w(_NG, "SELECT dst AS entity_id, round(left_w, 6) AS weight FROM g WHERE src = 'n3'"),
+    "entity_numbers": _w(f"{_NG}, {_IX}", "SELECT idx, entity_id FROM ix"),
+    "sparse_symmetric": _w(f"{_NG}, {_IX}", 'SELECT a.idx AS "row", b.idx AS col, round(sym_w, 6) AS weight FROM g JOIN ix a ON src = a.entity_id JOIN ix b ON dst = b.entity_id'),
+    "degrees_of_nations": _w(_NG, "SELECT entity_id, round(row_sum, 6) AS row_sum, false AS mask FROM ent"),
+    "edge_list_graph": _w(_NR, _VALUES),
+    "iterator_graph": _w(_NR, _VALUES),
+    "numpy_graph": _w(_NR, _VALUES),
+    "networkx_graph": _w(_NR, _VALUES),
+    "files_graph": _w(_SN, _VALUES),
+    "largest_component": """WITH e AS (SELECT 's' || s_suppkey AS x, 'n' || s_nationkey AS y FROM supplier WHERE s_nationkey IN (3, 5) UNION ALL SELECT 'n3', 'n5')
+SELECT x AS src, y AS dst FROM e UNION SELECT y, x FROM e""",
+    "negatives_are_no_edges": "SELECT 100::BIGINT AS n, 100::BIGINT AS pairs, 0::BIGINT AS bad",
+    "split_covers_all_edges": _w(
+        _B + ", m AS (SELECT count(*) AS m, floor(count(*) * (1 - 0.2::DOUBLE))::BIGINT AS t FROM adj WHERE src < dst)",
+        "SELECT 'train' AS part, t AS n, t AS pairs FROM m UNION ALL SELECT 'test', m - t, m - t FROM m",
+    ),
+    "neighborhood_edges": _w(_NG + ", hop AS (SELECT 'n0' AS x UNION SELECT dst FROM adj WHERE src = 'n0')", "SELECT src, dst FROM adj WHERE src IN (SELECT x FROM hop) AND dst IN (SELECT x FROM hop)"),
+}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,11 +16,24 @@ from hypergraph_spark.sources import lines as src
 
 @dataclass
 class HyperGraph:
-    """entities (entity_id, column_id, row_sum) and directed edges (src, dst, value, left_w, sym_w)."""
+    """entities (entity_id, column_id, row_sum) and directed edges (src, dst, value, left_w, sym_w).
+
+    raw, if given, has the same edges as (src, dst, value), before the joins that give them their weights.
+    """
 
     entities: DataFrame
     edges: DataFrame
     columns: str
+    raw: DataFrame | None = None
+
+    def __len__(self) -> int:
+        return self.num_entities()
+
+    def __repr__(self) -> str:
+        return f"HyperGraph(columns={self.columns!r}, num_entities={self.num_entities()}, num_edges={self.num_edges()})"
+
+    def __bool__(self) -> bool:
+        return True
 
     def weight(self, propagation: str) -> str:
         if propagation not in ("left", "symmetric"):
@@ -27,15 +41,19 @@ class HyperGraph:
         return "left_w" if propagation == "left" else "sym_w"
 
     def cache(self) -> HyperGraph:
-        self.entities, self.edges = self.entities.cache(), self.edges.cache()
+        self.entities, self.edges, self.raw = self.entities.cache(), self.edges.cache(), None
         return self
 
+    def pairs(self) -> DataFrame:
+        """(src, dst, value) of the directed edges, for what needs no weights."""
+        return self.edges.select("src", "dst", "value") if self.raw is None else self.raw
+
     def num_entities(self) -> int:
         return self.entities.count()
 
     def num_edges(self) -> int:
         """Directed edges, self-loops included."""
-        return self.edges.count()
+        return self.pairs().count()
 
     def degrees(self) -> DataFrame:
         return self.entities.select("entity_id", "row_sum")
@@ -58,6 +76,18 @@ class HyperGraph:
         schema = "entity_id string, idx long"
         return ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(schema).select("idx", "entity_id")
 
+    def entity_indices(self, entities: Sequence[str]) -> list[int]:
+        """The index numbers of some entities, in their order; ValueError names one that the graph lacks."""
+        wanted = self.entities.sparkSession.createDataFrame([(e,) for e in dict.fromkeys(entities)], "entity_id string")
+        found = {r["entity_id"]: r["idx"] for r in self.index().join(F.broadcast(wanted), "entity_id").collect()}
+        for e in entities:
+            if e not in found:
+                raise ValueError(f"unknown entity {e!r}")
+        return [found[e] for e in entities]
+
+    def entity_index(self, entity: str) -> int:
+        return self.entity_indices([entity])[0]
+
     def sparse(self, markov_type: str = "left") -> DataFrame:
         """(row, col, weight) triplets by index, row-sorted."""
         w, ix = self.weight(markov_type), self.index()
@@ -86,21 +116,24 @@ def _trimmed(h: DataFrame, reflexive: bool, trim_n: int) -> DataFrame:
 
     Only hyperedges over trim_n tokens are taken apart; the rest keep all their tokens without a shuffle.
     """
-    h = h.withColumn("hid", F.monotonically_increasing_id())
     long = (F.size("a") > trim_n) | (F.size("b") > trim_n)
     small = h.where(~long).withColumn("high_a", F.col("a")).withColumn("high_b", F.col("b"))
     sides = h.select(F.explode("a").alias("e"), F.size("b").alias("n"))
     if not reflexive:
         sides = sides.unionByName(h.select(F.explode("b").alias("e"), F.size("a").alias("n")))
     occ = sides.groupBy("e").agg((F.sum("n") * (2 if reflexive else 1)).alias("occ"))
-    big = h.where(long)
+    # Hyperedges are known by what they hold, not by a row number that another evaluation may deal out anew.
+    big = h.where(long).withColumn("hid", F.struct(F.xxhash64("a", "b").alias("x"), F.xxhash64(F.lit(1), "a", "b").alias("y")))
+    each = big.groupBy("hid").agg(F.first("a").alias("a"), F.first("b").alias("b"))
 
     def high(side: str) -> DataFrame:
-        t = big.select("hid", F.posexplode(side).alias("pos", "e")).join(occ, "e")
+        t = each.select("hid", F.posexplode(side).alias("pos", "e")).join(occ, "e")
         rank = F.row_number().over(Window.partitionBy("hid").orderBy(F.desc("occ"), "e", "pos"))
         return t.withColumn("rank", rank).where(F.col("rank") <= trim_n).groupBy("hid").agg(F.collect_list("e").alias(f"high_{side}"))
 
-    got = big.join(high("a"), "hid", "left").join(high("b"), "hid", "left")
+    a = high("a")
+    b = a.withColumnRenamed("high_a", "high_b") if reflexive else high("b")
+    got = big.join(a, "hid", "left").join(b, "hid", "left").drop("hid")
     return small.unionByName(got)
 
 
@@ -129,9 +162,13 @@ def build_graph(hyper: DataFrame, columns: str, trim_n: int = 16, normalizer: st
     else:
         pairs = h.select(F.explode("a").alias("x"), "b", value).select("x", F.explode("b").alias("y"), "value")
     summed = pairs.groupBy("x", "y").agg(F.sum("value").alias("value"))
-    both = summed.select(F.col("x").alias("src"), F.col("y").alias("dst"), "value").unionByName(summed.select(F.col("y").alias("src"), F.col("x").alias("dst"), "value"))
-    edges = both.groupBy("src", "dst").agg(F.sum("value").alias("value"))
-    return HyperGraph(entities, with_weights(edges, entities, normalizer), columns)
+    there = summed.select(F.col("x").alias("src"), F.col("y").alias("dst"), "value")
+    if reflexive:
+        # Both directions of a pair are there already, and alike.
+        edges = there.withColumn("value", F.col("value") * 2)
+    else:
+        edges = there.unionByName(summed.select(F.col("y").alias("src"), F.col("x").alias("dst"), "value")).groupBy("src", "dst").agg(F.sum("value").alias("value"))
+    return HyperGraph(entities, with_weights(edges, entities, normalizer), columns, edges)
 
 
 def with_weights(edges: DataFrame, entities: DataFrame, normalizer: str = "reference") -> DataFrame:
@@ -155,8 +192,8 @@ def graph_from_files(spark: SparkSession, paths, columns: str, trim_n: int = 16)
 
 
 def adjacency(graph: HyperGraph) -> DataFrame:
-    """The undirected 0/1 adjacency without self-loops, both directions."""
-    return graph.edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    """The undirected 0/1 adjacency without self-loops, both directions; a graph's edges are distinct."""
+    return graph.pairs().where(F.col("src") != F.col("dst")).select("src", "dst")
 
 
 def legacy_relations(cells: DataFrame, columns: str, prepend_field: bool = True) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,10 @@ from hypergraph_spark.operators import similarity as sim
 from hypergraph_spark.operators import stats as st
 from hypergraph_spark.operators.hetero import HeteroGraph
 from hypergraph_spark.operators.relations import persisted_entities, train_relations
-from hypergraph_spark.plans.graph import HyperGraph, adjacency, build_graph, graph_from_lines, legacy_relations
+from hypergraph_spark.plans.graph import HyperGraph, adjacency, build_graph, graph_from_files, graph_from_lines, legacy_relations
 from hypergraph_spark.sources.generators import planted_partition
-from hypergraph_spark.sources.lines import from_coo, from_table, hyperedges, json_rows, parse_line, remove_lines, tsv_rows, update_lines
+from hypergraph_spark.sources.io import load_embeddings, save_embeddings
+from hypergraph_spark.sources.lines import from_coo, from_edge_list, from_iterator, from_networkx, from_numpy, from_table, hyperedges, json_rows, parse_line, remove_lines, tsv_rows, update_lines
 from hypergraph_spark.streaming.micro_batch import windowed_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -312,10 +315,7 @@ def embed_residual(spark, d):
 @query
 def embed_multiscale(spark, d):
     g = user_events(spark, d)
-    x = wide(md5_init(g))
-    one = em.embed(g, DIMS, 1, initial=x, whiten=False)
-    two = em.embed(g, DIMS, 1, initial=one, whiten=False)
-    return long(sim.combine([one, two]))
+    return long(em.embed_multiscale(g, DIMS, (1, 2), initial=wide(md5_init(g)), whiten=False))
 
 
 @query
@@ -376,6 +376,132 @@ def knn_topk(spark, d):
     return out.select("source", "target", r6("score").alias("score"), "rank")
 
 
+@query
+def ann_ball_tree(spark, d):
+    """The neighbours of all rows whose id is divisible by 50, through the ball tree."""
+    x = vectors(spark, d)
+    asked = x.where(F.col("entity_id").cast("long") % 50 == 0).select("entity_id", "v").collect()
+    out = sim.BallTree(x, leaf_rows=128).query([(r["entity_id"], r["v"]) for r in asked], 5)
+    return out.select("source", "target", r6("score").alias("score"), "rank")
+
+
+@query
+def graph_round_trip(spark, d):
+    """A graph saved to the shared folder and loaded again."""
+    path = f"{em.shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    nation_graph(spark, d).save(path)
+    return HyperGraph.load(spark, path).edges.select("src", "dst", r6("left_w").alias("left_w"))
+
+
+@query
+def embeddings_round_trip(spark, d):
+    """Embeddings saved as CSV and loaded again, at full precision."""
+    path = f"{em.shared_dir(spark)}/embeddings-{uuid.uuid4().hex}"
+    save_embeddings(vectors(spark, d).select("entity_id", "v"), path, "csv")
+    return load_embeddings(spark, path, "csv").select("entity_id", F.size("v").alias("dims"), r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+
+
+@query
+def nation_neighbors(spark, d):
+    return nation_graph(spark, d).neighbors("n3").select("entity_id", r6("weight").alias("weight"))
+
+
+@query
+def entity_numbers(spark, d):
+    return nation_graph(spark, d).index()
+
+
+@query
+def sparse_symmetric(spark, d):
+    return nation_graph(spark, d).sparse("symmetric").select("row", "col", r6("weight").alias("weight"))
+
+
+@query
+def degrees_of_nations(spark, d):
+    g = nation_graph(spark, d)
+    return g.degrees().join(g.column_mask("node"), "entity_id").select("entity_id", r6("row_sum").alias("row_sum"), "mask")
+
+
+def _nation_edges(spark, d):
+    """The 25 edges from nations to regions, on the driver."""
+    return [(f"n{r[0]}", f"r{r[1]}") for r in table(spark, d, "nation").select("n_nationkey", "n_regionkey").collect()]
+
+
+def _values(g: HyperGraph) -> DataFrame:
+    return g.edges.select("src", "dst", r6("value").alias("value"), r6("left_w").alias("left_w"))
+
+
+@query
+def edge_list_graph(spark, d):
+    return _values(graph_from_lines(from_edge_list(spark, _nation_edges(spark, d)), NODE, 0))
+
+
+@query
+def iterator_graph(spark, d):
+    lines = (f"{a} {b}" for a, b in _nation_edges(spark, d))
+    return _values(build_graph(from_iterator(spark, lines, NODE), NODE, 0))
+
+
+@query
+def numpy_graph(spark, d):
+    edges = _nation_edges(spark, d)
+    names = sorted({x for e in edges for x in e})
+    m = np.zeros((len(names), len(names)))
+    for a, b in edges:
+        m[names.index(a), names.index(b)] = 1
+    return _values(graph_from_lines(from_numpy(spark, m, names), NODE, 0))
+
+
+@query
+def networkx_graph(spark, d):
+    """From an object with edges(), as networkx graphs have."""
+
+    class Graph:
+        def edges(self):
+            return _nation_edges(spark, d)
+
+    return _values(graph_from_lines(from_networkx(spark, Graph()), NODE, 0))
+
+
+@query
+def files_graph(spark, d):
+    """From files of lines on disk, read and parsed by Spark."""
+    path = f"{em.shared_dir(spark)}/lines-{uuid.uuid4().hex}.txt"
+    supplier_lines(spark, d).write.text(path)
+    return _values(graph_from_files(spark, path, NODE, 0))
+
+
+@query
+def largest_component(spark, d):
+    """The largest component of nations and regions with their suppliers left out but those of nation 3 alone: its own graph."""
+    t = table(spark, d, "supplier").where("s_nationkey IN (3, 5)").select(F.concat(F.lit("s"), "s_suppkey", F.lit(" n"), "s_nationkey").alias("value"))
+    loose = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey", F.lit(" x"), "r_regionkey").alias("value"))
+    joined = table(spark, d, "region").where("r_regionkey = 0").select(F.lit("n3 n5").alias("value"))
+    return adjacency(pre.largest_connected_component(graph_from_lines(t.unionByName(loose).unionByName(joined), NODE, 0)))
+
+
+@query
+def negatives_are_no_edges(spark, d):
+    """Negative samples: how many there are, how many pairs they are, how many of them are edges or loops."""
+    g = user_events(spark, d)
+    neg = pre.negative_sampling(g, 100)
+    hit = neg.join(g.pairs().select("src", "dst", F.lit(1).alias("edge")), ["src", "dst"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src", "dst").alias("pairs"), F.sum(F.coalesce("edge", (F.col("src") == F.col("dst")).cast("int"))).alias("bad"))
+
+
+@query
+def split_covers_all_edges(spark, d):
+    """Both parts of the split together, and each part's size."""
+    parts = pre.train_test_split_edges(baskets(spark, d))
+    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src", "dst").alias("pairs"))
+
+
+@query
+def neighborhood_edges(spark, d):
+    """All edges among a nation and its neighbours."""
+    return pre.sample_neighborhood(nation_graph(spark, d), spark.createDataFrame([("n0",)], "entity_id string"), 1)[1].select("src", "dst")
+
+
 @query
 def most_similar(spark, d):
     return sim.find_most_similar(vectors(spark, d), "7", 10).select("entity_id", r6("similarity").alias("similarity"))

@@ -80,6 +80,11 @@ def from_edge_list(spark: SparkSession, edges: Iterable[Sequence]) -> DataFrame:
     return spark.createDataFrame(rows, "value string")
 
 
+def from_networkx(spark: SparkSession, graph) -> DataFrame:
+    """Lines of a networkx graph, or of anything with edges() of (source, target) or (source, target, data) tuples."""
+    return from_edge_list(spark, [tuple(e)[:2] for e in graph.edges()])
+
+
 def from_coo(cells: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Lines of the undirected, distinct non-zero cells (row, col, value) of a square matrix; self-loops are kept.
 

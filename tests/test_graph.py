@@ -139,7 +139,8 @@ def test_search_and_compression(spark):
     want = [ids[j] for j in np.argsort(-(u @ u[5]), kind="stable") if j != 5][:4]
     assert [r[0] for r in sim.find_most_similar(emb, "05", 4).collect()] == want
     assert [r[0] for r in sim.ANNIndex(emb, "brute").query("05", 4).collect()] == want
-    assert sim.ANNIndex(emb, "hnsw").query("05", 4).count() == 4
+    for method in ("hnsw", "ball_tree"):
+        assert [r[0] for r in sim.ANNIndex(emb, method, leaf_rows=8).query("05", 4).collect()] == want
     blocks = sim.similar_by_blocks(emb, emb, 4, block=16).where("source = '05'").orderBy("rank")
     assert [r["target"] for r in blocks.collect()] == want
     pq = sim.product_quantize(emb, 4, 16, 10)
