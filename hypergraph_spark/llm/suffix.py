@@ -209,6 +209,8 @@ def _resolve(entries: _Entries, length: int) -> np.ndarray:
     size, nleft = np.array(entries.size, np.int64) - 8, np.array(entries.nleft, np.int64)
     group = np.cumsum(shared < GRAM)
     lefts = np.frombuffer(entries.lefts, np.uint8).reshape(n, reach)
+    # All offsets' hashes at once take 1.3 KB an entry: only for as many as usually go together.
+    every = np.cumsum((lefts.astype(np.uint64) + np.uint64(1)) * _POWER[:reach], axis=1, dtype=np.uint64) if n <= 40_000 else None
     best = np.full((2, n), -1, np.int64)  # least and greatest start offset that repeats
     for way, offsets in ((0, range(reach + 1)), (1, range(reach, -1, -1))):
         live = np.arange(n)
@@ -218,7 +220,8 @@ def _resolve(entries: _Entries, length: int) -> np.ndarray:
                 continue
             # A segment breaks where neighbours share less; group numbers are part of it.
             seg = np.cumsum(shared < length - o)[fits].astype(np.uint64)
-            key = mix(mix(_left_hashes(lefts, fits, o)) + seg * np.uint64(0x9E3779B97F4A7C15))
+            left = _left_hashes(lefts, fits, o) if every is None else every[fits, o - 1] if o else np.zeros(len(fits), np.uint64)
+            key = mix(mix(left) + seg * np.uint64(0x9E3779B97F4A7C15))
             order = np.argsort(key, kind="stable")
             k = key[order]
             new = np.concatenate(([True], k[1:] != k[:-1]))
