@@ -137,11 +137,10 @@ SELECT relation, src, dst, round(v / sum(v) OVER (PARTITION BY relation, src) +
     "l2_rows": _w(_UN, "SELECT entity_id, dim::INTEGER AS dim, round(x, 6) AS x FROM un"),
     "l1_rows": _w(_U, "SELECT entity_id, dim::INTEGER AS dim, round(x / greatest(sum(abs(x)) OVER (PARTITION BY entity_id), 1e-10), 6) AS x FROM vl"),
     "rmse_of_round": _w(", ".join([_UE, _INIT, _step("x0", "x1")]), "SELECT round(sqrt(avg((x0.x - x1.x) * (x0.x - x1.x))), 6) AS rmse FROM x0 JOIN x1 USING (entity_id, dim)"),
-    "covariance": _w(_U, "SELECT a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(covar_samp(a.x, b.x), 6) + 0.0::DOUBLE AS c FROM vl a JOIN vl b USING (entity_id) WHERE a.dim < 8 AND b.dim < 8 GROUP BY 1, 2"),
-    "covariance_whole": _w(_U, "SELECT a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(covar_samp(a.x, b.x), 6) + 0.0::DOUBLE AS c FROM vl a JOIN vl b USING (entity_id) GROUP BY 1, 2"),
+    "covariance": _w(_U, "SELECT a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(covar_samp(a.x, b.x), 6) + 0.0::DOUBLE AS c FROM vl a JOIN vl b USING (entity_id) GROUP BY 1, 2"),
     "knn_topk": _w(_UN, "SELECT source, target, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, target)::INTEGER AS rank FROM (SELECT a.entity_id AS source, b.entity_id AS target, sum(a.x * b.x) AS s FROM un a JOIN un b USING (dim) WHERE a.entity_id::BIGINT % 50 = 0 AND a.entity_id <> b.entity_id GROUP BY 1, 2)) WHERE rank <= 5"),
-    "most_similar": _w(_UN, "SELECT b.entity_id, round(sum(a.x * b.x), 6) AS similarity FROM un a JOIN un b USING (dim) WHERE a.entity_id = '7' AND b.entity_id <> '7' GROUP BY 1 ORDER BY sum(a.x * b.x) DESC, 1 LIMIT 10"),
-    "ann_brute": _w(_UN, "SELECT b.entity_id, round(sum(a.x * b.x), 6) AS similarity FROM un a JOIN un b USING (dim) WHERE a.entity_id = '3' AND b.entity_id <> '3' GROUP BY 1 ORDER BY sum(a.x * b.x) DESC, 1 LIMIT 10"),
+    "most_similar": _w(_UN, "SELECT source, entity_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, entity_id) AS rank FROM (SELECT a.entity_id AS source, b.entity_id, sum(a.x * b.x) AS s FROM un a JOIN un b USING (dim) WHERE a.entity_id::BIGINT % 50 = 0 AND a.entity_id <> b.entity_id GROUP BY 1, 2)) WHERE rank <= 10"),
+    "ann_brute": _w(_UN, "SELECT source, target, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, target)::INTEGER AS rank FROM (SELECT a.entity_id AS source, b.entity_id AS target, sum(a.x * b.x) AS s FROM un a JOIN un b USING (dim) WHERE a.entity_id::BIGINT % 50 = 0 AND a.entity_id <> b.entity_id GROUP BY 1, 2)) WHERE rank <= 10"),
     "ensemble_mean": _w(_UN, "SELECT entity_id, un.dim::INTEGER AS dim, round(0.5::DOUBLE * vl.x + 0.5::DOUBLE * un.x, 6) AS x FROM un JOIN vl USING (entity_id, dim)"),
     "degree_distribution": _w(_B + ", dg AS (SELECT entity_id, (SELECT count(*) FROM adj WHERE src = entity_id) AS d FROM ent)", "SELECT r.d AS degree, count(dg.entity_id) AS count FROM (SELECT unnest(range(0, (SELECT max(d) FROM dg) + 1)) AS d) r LEFT JOIN dg USING (d) GROUP BY 1"),
     "density": _w(_B + ", c AS (SELECT (SELECT count(*) FROM ent) AS n, (SELECT count(*) FROM adj) AS m)", "SELECT n, (m // 2)::BIGINT AS m, round(m / (n * (n - 1))::DOUBLE, 6) AS density, round(m / n::DOUBLE, 6) AS avg_degree FROM c"),
@@ -204,8 +203,7 @@ UNION ALL SELECT 'supplier', count(*) FROM (SELECT DISTINCT l_suppkey FROM linei
         _TOK + ", c AS (SELECT a.t AS src, b.t AS dst, count(*)::DOUBLE AS n FROM tk a JOIN tk b ON a.h = b.h AND abs(a.i - b.i) = 1 GROUP BY 1, 2), w AS (SELECT src, dst, ln(n * (SELECT sum(n) FROM c) / (sum(n) OVER (PARTITION BY src) * sum(n) OVER (PARTITION BY dst))) AS w FROM c)",
         "SELECT src, dst, round(w, 6) AS w FROM w WHERE w > 0",
     ),
-    "document_tokens": _w("d AS (SELECT row_number() OVER () AS h, string_split(split_part(coalesce(text, ''), chr(10), 1), ' ') AS t FROM documents), inc AS (SELECT h, unnest(t) AS e FROM d), sz AS (SELECT h, count(*) AS n FROM inc GROUP BY h)", "SELECT e AS entity_id, round(sum(2.0::DOUBLE / n), 6) AS row_sum FROM inc JOIN sz USING (h) GROUP BY 1"),
-    "document_tokens_whole": _w("d AS (SELECT row_number() OVER () AS h, string_split(replace(coalesce(text, ''), chr(10), ' '), ' ') AS t FROM documents), inc AS (SELECT h, unnest(t) AS e FROM d), sz AS (SELECT h, count(*) AS n FROM inc GROUP BY h)", "SELECT e AS entity_id, round(sum(2.0::DOUBLE / n), 6) AS row_sum FROM inc JOIN sz USING (h) GROUP BY 1"),
+    "document_tokens": _w("d AS (SELECT row_number() OVER () AS h, string_split(replace(coalesce(text, ''), chr(10), ' '), ' ') AS t FROM documents), inc AS (SELECT h, unnest(t) AS e FROM d), sz AS (SELECT h, count(*) AS n FROM inc GROUP BY h)", "SELECT e AS entity_id, round(sum(2.0::DOUBLE / n), 6) AS row_sum FROM inc JOIN sz USING (h) GROUP BY 1"),
     "page_links": _w(_two("SELECT page_id AS h, regexp_extract(url, '://([^/?#]*)', 1) AS e FROM pages WHERE len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) > 0", "SELECT page_id AS h, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS e FROM pages"), "SELECT src, dst, round(left_w + 1e-9, 6) AS left_w FROM g"),
     "windowed_graph_daily": "SELECT date_trunc('day', ts) AS window_start, user_id::VARCHAR AS src, event_type AS dst, count(*) AS n FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2, 3",
     "file_hyperedges": "SELECT 'c' || o_custkey AS a, len(string_split(o_orderstatus || ' ' || o_orderpriority, ' '))::INTEGER AS n FROM orders",

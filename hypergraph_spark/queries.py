@@ -348,41 +348,32 @@ def rmse_of_round(spark, d):
     return spark.range(1).select(r6(F.lit(la.rmse(a, b))).alias("rmse"))
 
 
-def covariances(spark, d, most: int | None = None) -> DataFrame:
+@query
+def covariance(spark, d):
     n, s, g = la.gram(vectors(spark, d))
     cov = (g - n * (s / n)[:, None] * (s / n)[None, :]) / (n - 1)
-    dims = range(len(cov) if most is None else most)
+    dims = range(len(cov))
     return spark.createDataFrame([(i, j, round(float(cov[i, j]), 6) + 0.0) for i in dims for j in dims], "i int, j int, c double")
 
 
-@query
-def covariance(spark, d):
-    """The corner of the first 8 dimensions; covariance_whole has all."""
-    return covariances(spark, d, 8)
-
+# --- similarity ---------------------------------------------------------------------------------------------------
 
-@query
-def covariance_whole(spark, d):
-    return covariances(spark, d)
 
-
-# --- similarity ---------------------------------------------------------------------------------------------------
+def asked(x: DataFrame) -> DataFrame:
+    """The searches' queries: all rows whose id is divisible by 50."""
+    return x.where(F.col("entity_id").cast("long") % 50 == 0)
 
 
 @query
 def knn_topk(spark, d):
     x = vectors(spark, d)
-    out = sim.similar_by_blocks(x.where(F.col("entity_id").cast("long") % 50 == 0), x, 5)
-    return out.select("source", "target", r6("score").alias("score"), "rank")
+    return sim.similar_by_blocks(asked(x), x, 5).select("source", "target", r6("score").alias("score"), "rank")
 
 
 @query
 def ann_ball_tree(spark, d):
-    """The neighbours of all rows whose id is divisible by 50, through the ball tree."""
     x = vectors(spark, d)
-    asked = x.where(F.col("entity_id").cast("long") % 50 == 0).select("entity_id", "v").collect()
-    out = sim.BallTree(x, leaf_rows=128).query([(r["entity_id"], r["v"]) for r in asked], 5)
-    return out.select("source", "target", r6("score").alias("score"), "rank")
+    return sim.ANNIndex(x, "ball_tree", leaf_rows=128).query_all(asked(x), 5).select("source", "target", r6("score").alias("score"), "rank")
 
 
 @query
@@ -504,12 +495,14 @@ def neighborhood_edges(spark, d):
 
 @query
 def most_similar(spark, d):
-    return sim.find_most_similar(vectors(spark, d), "7", 10).select("entity_id", r6("similarity").alias("similarity"))
+    x = vectors(spark, d)
+    return sim.similar_by_blocks(asked(x), x, 10).select("source", F.col("target").alias("entity_id"), r6("score").alias("similarity"))
 
 
 @query
 def ann_brute(spark, d):
-    return sim.ANNIndex(vectors(spark, d), "brute").query("3", 10).select("entity_id", r6("similarity").alias("similarity"))
+    x = vectors(spark, d)
+    return sim.ANNIndex(x, "brute").query_all(asked(x), 10).select("source", "target", r6("score").alias("score"), "rank")
 
 
 def knn_graph(spark, d) -> DataFrame:
@@ -735,13 +728,6 @@ def token_ppmi(spark, d):
 
 @query
 def document_tokens(spark, d):
-    """Degrees of the hypergraph whose hyperedges are documents' first lines."""
-    t = table(spark, d, "documents").select(F.split(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), " ", -1).alias("a"))
-    return build_graph(t.select("a", F.col("a").alias("b")), "complex::reflexive::token", 0).entities.select("entity_id", r6("row_sum").alias("row_sum"))
-
-
-@query
-def document_tokens_whole(spark, d):
     """Degrees of the hypergraph whose hyperedges are whole documents, all lines."""
     t = table(spark, d, "documents").select(F.split(F.coalesce("text", F.lit("")), "[ \n]", -1).alias("a"))
     return build_graph(t.select("a", F.col("a").alias("b")), "complex::reflexive::token", 0).entities.select("entity_id", r6("row_sum").alias("row_sum"))
@@ -820,8 +806,9 @@ def random_projection(spark, d):
 
 @query
 def pq_search(spark, d):
+    """Approximate neighbours, at the index's default sizes; tests hold their recall against brute force."""
     x = vectors(spark, d)
-    return sim.product_quantize(x, 8, 16, 5).search(x.where(F.col("entity_id") == "7").first()["v"], 10)
+    return sim.product_quantize(x).search_all(asked(x), x, 10).select("source", "target", r6("score").alias("score"), "rank")
 
 
 @query

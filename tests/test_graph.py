@@ -147,6 +147,13 @@ def test_search_and_compression(spark):
     _, back = la.to_local(pq.reconstruct())
     assert ((back - x) ** 2).mean() < (x**2).mean() / 2
     assert pq.search(x[5], 3).count() == 3
+    # With every row a candidate the codes decide nothing, so the result is exact.
+    exact = pq.search_all(emb, emb, 4, widen=15, block=16).where("source = '05'").orderBy("rank")
+    assert [r["target"] for r in exact.collect()] == want
+    for index in (sim.ANNIndex(emb, "brute"), sim.ANNIndex(emb, "ball_tree", leaf_rows=8)):
+        every = index.query_all(emb, 4, block=16)
+        assert every.count() == 240 and [r["target"] for r in every.where("source = '05'").orderBy("rank").collect()] == want
+        assert index.query_all(emb.limit(0), 4).count() == 0
     with pytest.raises(ValueError):
         sim.find_most_similar(emb, "nobody")
     with pytest.raises(ValueError):
@@ -318,14 +325,14 @@ def test_dataset_files_and_benchmark(spark, tmp_path):
 
 def test_document_tokens_of_all_lines(spark, tmp_path):
     spark.createDataFrame([("a b\nc d\n",), (None,)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r[0]: r[1] for r in queries.document_tokens_whole(spark, str(tmp_path)).collect()} == {"a": 0.4, "b": 0.4, "c": 0.4, "d": 0.4, "": 2.4}
+    assert {r[0]: r[1] for r in queries.document_tokens(spark, str(tmp_path)).collect()} == {"a": 0.4, "b": 0.4, "c": 0.4, "d": 0.4, "": 2.4}
 
 
 def test_betweenness_and_covariance_are_whole(spark, tmp_path):
     g = graph_from_lines(lines(spark, *[f"m l{i}" for i in range(12)]), NODE)
     assert {r[0]: r[1] for r in st.betweenness_centrality(g, top_k=None).collect()} == {"m": 66.0} | {f"l{i}": 0.0 for i in range(12)}
     spark.createDataFrame([(i, [float(i * j % 7) for j in range(12)]) for i in range(9)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r["i"], r["j"]): r["c"] for r in queries.covariance_whole(spark, str(tmp_path)).collect()}
+    got = {(r["i"], r["j"]): r["c"] for r in queries.covariance(spark, str(tmp_path)).collect()}
     want = np.cov([[i * j % 7 for i in range(9)] for j in range(12)])
     assert len(got) == 144 and all(got[i, j] == pytest.approx(want[i, j], abs=1e-5) for i, j in got)
 
