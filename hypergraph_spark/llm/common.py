@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
@@ -41,6 +41,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hidden(df: DataFrame, needed: Sequence[str], dropped: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """df without the columns `dropped`, and the names of those that stay.
+
+    All but the needed ones have names there that no operator uses, whatever theirs are; toDF gives them back.
+    """
+    inner = df.toDF(*[c if c in needed else f"__in_{i}" for i, c in enumerate(df.columns)])
+    stay = [(a, c) for a, c in zip(inner.columns, df.columns, strict=True) if c not in dropped]
+    return inner.select(*[a for a, _ in stay]), [c for _, c in stay]
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hypergraph_spark.llm.common import by_bytes, small_batches, span_hashes, utf8, word_count
+from hypergraph_spark.llm.common import by_bytes, hidden, small_batches, span_hashes, utf8, word_count
 
 #: Items travel to every task; a benchmark whose index would be larger is searched in slices, one pass over docs each.
 MAX_INDEX_BYTES = 64 << 20
@@ -185,7 +185,8 @@ def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """docs without the rows that hold a benchmark item (see find_contaminated); clean rows, null texts too, stay as they are."""
     # Two hashes under different seeds, so that no clean row shares a dirty one's by chance.
+    docs, names = hidden(docs, ("doc_id", "text"))
     key = ("__a", "__b")
     tagged = docs.withColumn("__a", F.xxhash64(F.col("doc_id"), F.col("text"))).withColumn("__b", F.xxhash64(F.lit(1), F.col("doc_id"), F.col("text")))
     hits = find_contaminated(tagged, benchmark, threshold, k, key).select(*key).distinct()
-    return tagged.join(hits, list(key), "left_anti").drop(*key)
+    return tagged.join(hits, list(key), "left_anti").select(*docs.columns).toDF(*names)

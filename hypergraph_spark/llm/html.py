@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hypergraph_spark.llm.common import arrow_rows, materialize
+from hypergraph_spark.llm.common import arrow_rows, hidden, materialize
 from hypergraph_spark.llm.urls import url_host
 
 # Element names and landmark roles of the HTML and ARIA standards.
@@ -338,7 +338,12 @@ def extract_text(pages: DataFrame, least: float = 0.2, html_col: str = "html", u
     url has the host ''. A page of which the tree would leave nothing keeps its candidates. Repeated rows stay; extra
     columns too (text and n_chars are replaced); an empty table gives an empty result.
     """
-    names = [c for c in (keep or pages.columns) if c not in ("text", "n_chars")]
+    # A url or html column of the name of a result is read, but not kept.
+    made = ("text", "n_chars")
+    shown = [c for c in (keep or pages.columns) if c not in made]
+    inner, own = hidden(pages, (html_col, url_col))
+    names = [inner.columns[own.index(c)] for c in shown]
+    pages = inner
     read = read_pages(pages, names, html_col, url_col)
     tree = style_tree(read).where(F.col("importance") < least).select("host", "path")
     # Only unimportant nodes are sent back, as one list a host: bounded by its templates, not by its pages.
@@ -354,7 +359,7 @@ def extract_text(pages: DataFrame, least: float = 0.2, html_col: str = "html", u
     stays = F.filter("__blocks", lambda b: ~F.exists("__low", lambda x: F.startswith(F.concat(b["path"], F.lit("/")), x)))
     kept = F.when(F.col("__low").isNull() | (F.size(stays) == 0), F.col("__blocks")).otherwise(stays)
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return df.select(*names, text.alias("text")).select(*names, "text", F.length("text").cast("long").alias("n_chars"))
+    return df.select(*names, text.alias("__text")).select(*names, "__text", F.length("__text").cast("long")).toDF(*shown, *made)
 
 
 def main_text(page: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hypergraph_spark.llm.common import NULL_ID, ascii_lower, materialize, strip_ws
+from hypergraph_spark.llm.common import NULL_ID, ascii_lower, hidden, materialize, strip_ws
 
 
 def line_key(line: Column) -> Column:
@@ -32,10 +32,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     on the key's hash, and texts reassembled from the positions that stay, in time linear in lines. A text of which every line goes becomes empty; a null text with
     no line dropped stays null. Extra columns are kept; those named n_lines or n_dropped are replaced.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    docs, own = hidden(docs, ("doc_id", "text"), ("n_lines", "n_dropped"))
+    names = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
     # A row's positions hold for every row of its id and text.
-    base = docs.select(*names).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__th", F.xxhash64(text))
+    base = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__th", F.xxhash64(text))
     exploded = base.where(F.length("text") >= min_chars).select("__id", "__th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.length("line") >= min_chars)
     keyed = exploded.select("__id", "__th", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars).select(_digest(F.col("key")).alias("h"), "__id", "__th", "pos")
     keyed = materialize(keyed, "line-keys")
@@ -55,4 +56,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     kept = F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(F.transform(stay, lambda i: F.get("__lines", i)))
     made = F.when(~(F.col("__null") & F.col("__lost").isNull()), F.array_join(kept, "\n"))
     n_dropped = F.coalesce(F.size("__lost"), F.lit(0))
-    return df.select(*[made.alias("text") if c == "text" else F.col(c) for c in names], n.cast("long").alias("n_lines"), F.when(F.col("__lost").isNull(), F.lit(0)).otherwise(n_dropped).cast("long").alias("n_dropped"))
+    return df.select(*[made.alias("text") if c == "text" else F.col(c) for c in names], n.cast("long").alias("n_lines"), F.when(F.col("__lost").isNull(), F.lit(0)).otherwise(n_dropped).cast("long").alias("n_dropped")).toDF(*own, "n_lines", "n_dropped")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hypergraph_spark.llm.common import materialize, word_count
+from hypergraph_spark.llm.common import hidden, materialize, word_count
 
 #: A schedule: knots (time 0 to 1, factor >= 0) of a piecewise linear factor on a source's weight.
 Schedule = Sequence[tuple[float, float]]
@@ -87,8 +87,10 @@ def curriculum_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total:
     result. Extra columns stay; those named like the results are replaced. If the text is not kept, texts are read
     once, and what is moved has none.
     """
-    mixed = _placed(docs, weights, total, cap, schedules, buckets, bucket_rows, keep)
-    return mixed.orderBy(F.element_at(F.concat("positions", F.array(F.lit(2.0))), 1), "doc_id")
+    inner, own = hidden(docs, ("doc_id", "text", "source"), MADE)
+    shown = [c for c in (keep or own) if c not in MADE]
+    mixed = _placed(inner, weights, total, cap, schedules, buckets, bucket_rows, [inner.columns[own.index(c)] for c in shown])
+    return mixed.orderBy(F.element_at(F.concat("positions", F.array(F.lit(2.0))), 1), "doc_id").toDF(*shown, *MADE)
 
 
 def training_rows(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, cap: float = 2.0, schedules: dict[str, Schedule] | Sequence[Schedule] | None = None) -> DataFrame:
@@ -96,14 +98,13 @@ def training_rows(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total:
 
     The columns are those of docs, source and text among them.
     """
-    made = [c for c in docs.columns if c in MADE]
-    kept = docs.withColumnsRenamed({c: f"__in_{c}" for c in made})
-    mixed = _placed(kept, weights, total, cap, schedules).withColumn("__position", F.explode("positions")).drop(*MADE)
-    return mixed.withColumnsRenamed({f"__in_{c}": c for c in made}).orderBy("__position", "doc_id").select(*docs.columns)
+    inner, names = hidden(docs, ("doc_id", "text", "source"))
+    mixed = _placed(inner, weights, total, cap, schedules).withColumn("__position", F.explode("positions"))
+    return mixed.orderBy("__position", "doc_id").select(*inner.columns).toDF(*names)
 
 
 def _placed(docs: DataFrame, weights: Sequence[float], total: float, cap: float, schedules: dict[str, Schedule] | Sequence[Schedule] | None, buckets: int = 256, bucket_rows: int = 50_000, keep: Sequence[str] | None = None) -> DataFrame:
-    names = [c for c in (keep or docs.columns) if c not in MADE]
+    names = list(keep or docs.columns)
     order = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
     df = docs.select(*dict.fromkeys([*names, "source"]), word_count(F.col("text")).alias("size"), order.alias("__order"))
     if "text" not in names:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hypergraph_spark.llm.common import hidden
+
 _LCG = np.uint64(2862933555777941757)
 
 
@@ -47,9 +49,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", gr
     ordered in one task. Null ids share one key; repeated ids share a shard and get slots of their own;
     an empty table gives an empty result. Columns of docs named like the results are replaced, all others stay.
     """
-    kept = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
+    docs, names = hidden(docs, (id_col,), ("shard", "slot", "grown_shard"))
+    kept = docs.columns
     key = F.xxhash64(F.coalesce(F.col(id_col), F.lit(-1).cast(docs.schema[id_col].dataType)))
-    df = docs.select(*kept).withColumn("__key", key)
+    df = docs.withColumn("__key", key)
     df = df.withColumn("shard", jump_shard(F.col("__key"), shards))
     if grown:
         df = df.withColumn("grown_shard", jump_shard(F.col("__key"), grown))
@@ -63,4 +66,5 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", gr
     df = df.join(F.broadcast(offsets), (F.col("shard") == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     within = Window.partitionBy("shard", "__bucket").orderBy("__key", "__tie")
     df = df.withColumn("slot", F.col("__offset") + F.row_number().over(within) - 1)
-    return df.select(*kept, "shard", "slot", *(["grown_shard"] if grown else []))
+    made = ["shard", "slot", *(["grown_shard"] if grown else [])]
+    return df.select(*kept, *made).toDF(*names, *made)

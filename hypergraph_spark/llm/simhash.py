@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hypergraph_spark.llm.common import bit_majority, materialize, shingle_hashes, signed, small_batches, utf8
+from hypergraph_spark.llm.common import bit_majority, hidden, materialize, shingle_hashes, signed, small_batches, utf8
 from hypergraph_spark.llm.components import connected_components
 from hypergraph_spark.llm.vptree import link_fingerprints
 
@@ -327,11 +327,11 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     text are one. Columns stay
     as they are; an empty table gives an empty result.
     """
-    names = docs.columns
+    docs, names = hidden(docs, ("doc_id", "text"))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("__h", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
     # Copies combine before the shuffle, so a text that a third of the rows repeat does not meet in one task.
-    first = keyed.groupBy("__h").agg(F.min("__id").alias("__id"), F.min_by(F.struct(*names), F.col("__id")).alias("r"))
+    first = keyed.groupBy("__h").agg(F.min("__id").alias("__id"), F.min_by(F.struct(*docs.columns), F.col("__id")).alias("r"))
     # Rows are numbered as they are written, so that a number is one text's alone; 64 bits of hash would not be. The
     # numbers decide nothing: ties between ids go by the text's hash.
     unique = materialize(first.select(F.monotonically_increasing_id().alias("__row"), "__h", "__id", "r.*"), "near-unique")
@@ -340,7 +340,4 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     ids = groups.join(unique.select(F.col("__row").alias("node"), "__id", "__h"), "node")
     best = ids.groupBy("root").agg(F.min(F.struct("__id", "__h", "node")).alias("best")).select("root", F.col("best.node").alias("keep"))
     gone = ids.join(best, "root").where(F.col("node") != F.col("keep")).select(F.col("node").alias("__row"))
-    return unique.join(gone, "__row", "left_anti").select(*names)
-
-
-
+    return unique.join(gone, "__row", "left_anti").select(*docs.columns).toDF(*names)

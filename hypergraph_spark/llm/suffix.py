@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hypergraph_spark.llm.common import NULL_ID, by_bytes, mix, partitions, small_batches, span_hashes, utf8
+from hypergraph_spark.llm.common import NULL_ID, by_bytes, hidden, mix, partitions, small_batches, span_hashes, utf8
 
 GRAM = 40
 _HEAD = struct.Struct("<qqiHHH")  # id, text hash, position, left length, common prefix, tail length
@@ -420,8 +420,9 @@ def drop_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     made = ("kept", "n_bytes", "n_removed", "n_spans", "spans")
-    names = [c for c in docs.columns if c not in made]
-    keyed, spans = repeated_spans(docs.select(*names), length)
+    docs, own = hidden(docs, ("doc_id", "text"), made)
+    names = docs.columns
+    keyed, spans = repeated_spans(docs, length)
     df = keyed.join(spans.withColumnRenamed("spans", "__spans"), ["__id", "__th"], "left")
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -441,4 +442,4 @@ def drop_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             )
 
     types = ", ".join(f"`{c}` {t}" for c, t in df.select(*names).dtypes)
-    return df.select(*names, text.alias("__text"), "__spans").mapInArrow(cut, types + ", kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<a:int,b:int>>")
+    return df.select(*names, text.alias("__text"), "__spans").mapInArrow(cut, types + ", kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<a:int,b:int>>").toDF(*own, *made)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hypergraph_spark.llm.common import materialize, small_batches
+from hypergraph_spark.llm.common import hidden, materialize, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Signs that what stands near them is cited, reported or discussed rather than said. Fixed values.
@@ -283,6 +283,17 @@ def score_rows(docs: DataFrame, model: ToxicityModel, *keep: str, raw: bool = Fa
     return src.mapInArrow(run, types + (", features array<double>" if raw else ", score double"))
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
+    """docs without the rows whose whole text scores `least` or more.
+
+    Null or empty texts score as texts without hits. Repeated rows are each judged; columns stay as they are, one
+    named score among them; an empty table gives an empty result.
+    """
+    inner, names = hidden(docs, ("doc_id", "text"))
+    scored = score_rows(inner, model, *[c for c in inner.columns if c not in ("doc_id", "text")], text=True)
+    return scored.where(F.col("score") < least).select(*inner.columns).toDF(*names)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training: crc32 of its id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -295,5 +306,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -
     null doc_id is never labelled; labels of ids that docs lacks are ignored; an empty table gives an empty result.
     """
     model = fit_toxicity(docs, labels.where(~held_out(F.col("doc_id"))), max_rows)
-    out = score_rows(docs.withColumn("held_out", held_out(F.col("doc_id"))), model, "held_out")
+    out = score_rows(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model, "held_out")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hypergraph_spark.llm.common import ascii_lower, partitions
+from hypergraph_spark.llm.common import ascii_lower, hidden, partitions
 
 #: Rules travel to every task; more are refused rather than broadcast unchecked.
 MAX_RULE_BYTES = 64 << 20
@@ -105,8 +105,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
     if any(not r.host for r in rules):
         raise ValueError("a rule needs a host")
     made = ("host", "path", "rule", "verdict")
-    names = [c for c in pages.columns if c not in made]
-    df = pages.select(*names).withColumn("host", url_host(F.col(url_col))).withColumn("path", url_path(F.col(url_col)))
+    pages, own = hidden(pages, (url_col,), made)
+    names = pages.columns
+    df = pages.withColumn("host", url_host(F.col(url_col))).withColumn("path", url_path(F.col(url_col)))
     df = df.withColumn("__key", reversed_host(F.col("host"))).withColumn("__row", F.xxhash64(*names))
     df = df.repartitionByRange(partitions(pages.sparkSession), "__key", "path", "__row").sortWithinPartitions("__key", "path")
 
@@ -121,4 +122,4 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
     verdicts = F.array(*[F.lit(r.verdict) for r in rules]) if rules else F.array().cast("array<string>")
     # element_at() of a null index over a constant array is not null in generated code, so the index is never null.
     pick = lambda values: F.when(F.col("__rule") >= 0, F.get(values, F.greatest(F.col("__rule"), F.lit(0))))
-    return df.select(*names, "host", "path", pick(named).alias("rule"), F.coalesce(pick(verdicts), F.lit(default)).alias("verdict"))
+    return df.select(*names, "host", "path", pick(named).alias("rule"), F.coalesce(pick(verdicts), F.lit(default)).alias("verdict")).toDF(*own, *made)

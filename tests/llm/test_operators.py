@@ -23,7 +23,7 @@ from hypergraph_spark.llm.urls import Rule, filter_urls, parse_rule, sweep
 from hypergraph_spark.llm.vptree import build_tree, link_fingerprints
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ", size long, shard string, slot string, grown_shard string, fp string, row string, n string, key string, line string, copies string, taken string, target string, positions string, spans string, kept string, n_bytes string, n_lines string, n_dropped string, source_size string, id string, tag string, part string, score string, features string, y string, item_id string, shared string, g string, pos string, root string, node string"
+CLASH = ", size long, shard string, slot string, grown_shard string, fp string, row string, n string, key string, line string, copies string, taken string, target string, positions string, spans string, kept string, n_bytes string, n_lines string, n_dropped string, source_size string, id string, tag string, part string, score string, features string, y string, item_id string, shared string, g string, pos string, root string, node string, __id string, __th string, __h string, __row string, __a string, __b string, __s string, __n string, __key string, __tie string, __bucket string, __offset string, __order string, __mid string, __position string, __lost string, __lines string, __null string, __keep string, __pos string, __spans string, __text string, __in_1 string, `a.b` string, held_out string"
 
 
 def docs(spark, rows, clash=False):
@@ -69,6 +69,9 @@ def test_no_operator_drops_or_breaks_on_hard_rows(spark, table):
     assert len(dc.decontaminate(df, bench).collect()) == max(0, n - 4)
     kept = drop_near_duplicates(df)
     assert kept.columns == df.columns
+    if "__id" in df.columns:  # other columns come back as they were, whatever their names
+        for out in (shard_documents(df), sx.drop_repeats(df), dedup_lines(df, 1, 2), curriculum_mix(df), dc.decontaminate(df, bench), kept):
+            assert all(r["__id"] == r["__th"] == r["__row"] == r["__key"] == r["__in_1"] == r["a.b"] == "x" for r in out.collect())
     # Texts: alone here, '' (of null, two empties and the blank one), one, same id.., é.., the long one.
     assert len(kept.collect()) == (6 if n else 0)
 
@@ -597,7 +600,7 @@ def test_sweep_against_every_rule(spark):
             seen.add((r.host, r.path))
             unique.append(r)
     urls = [None, "", "no scheme", "http://", "HTTP://Example.COM/en/7?x=/d#y", "http://a.example.com#/en/"] + [f"https://{rng.choice(hosts + ['z.a.example.com', 'other.net', 'xexample.com'])}{rng.choice(['', '/', '/en/', '/en/70?q', '/d#e', '?a/b'])}" for _ in range(200)]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'x' host", "'x' rule")
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'x' host", "'x' rule", "'x' __key", "'y' __row", "'z' __rule")
     for r in filter_urls(df, unique).collect():
         rest = r["url"].split("://", 1)[1] if r["url"] and "://" in r["url"] else ""
         cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
@@ -606,6 +609,7 @@ def test_sweep_against_every_rule(spark):
         assert (r["host"], r["path"]) == (host, path)
         fits = [x for x in unique if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
         best = max(fits, key=lambda x: (len(x.host) + len(x.path), len(x.host)), default=None)
+        assert (r["__key"], r["__row"], r["__rule"]) == ("x", "y", "z")
         assert (r["rule"], r["verdict"]) == ((best.name, best.verdict) if best else (None, "allow"))
     assert sweep([parse_rule("block", "com/en/")], [], []) == []
     assert filter_urls(df.limit(0), unique).count() == 0 and filter_urls(df, []).where("verdict != 'allow'").count() == 0
@@ -744,10 +748,11 @@ def test_style_tree_against_recursion(spark):
 def test_style_trees_drop_repeated_branches(spark):
     rows = [(i, "http://h.example/x", f"<body><div><p>Own words of page {i}</p></div><div class='strip'><p>Always the same strip</p></div></body>") for i in range(8)]
     rows += [(100, None, None), (101, "http://one.example/", "<body><div class='strip'><p>Always the same strip</p></div></body>"), (100, None, None)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' text", "'x' host")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' text", "'x' host", "'x' __host", "'x' __page", "'x' __low", "'x' __of", "'x' __blocks")
     got = defaultdict(list)
     for r in ht.extract_text(df).collect():
         got[r["page_id"]].append((r["text"], r["n_chars"]))
+        assert r["__host"] == r["__page"] == r["__low"] == r["__of"] == r["__blocks"] == "x"
     assert got[3] == [("Own words of page 3", 19)] and got[100] == [("", 0)] * 2 and got[101] == [("Always the same strip", 21)]
     assert ht.extract_text(df.limit(0)).count() == 0
 
