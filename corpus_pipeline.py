@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages over `documents`; each stage is one operator of hypergraph_spark.llm."""
+"""A corpus pipeline of five stages over `documents`; each stage is one operator of hypergraph_spark.llm.
+
+Every stage takes nulls in any column (a null text as empty, a null doc_id after all others), repeated rows (each judged
+and kept by itself, but for near_dedup, where rows equal in id and text are one), an empty table (an empty result) and
+extra columns of any name, which all stages but the last return as they were; see the operators for ties.
+"""
 
 from __future__ import annotations
 
@@ -10,14 +15,14 @@ from hypergraph_spark.llm.decontaminate import decontaminate
 from hypergraph_spark.llm.mixing import CURRICULUM, training_rows
 from hypergraph_spark.llm.sharding import shard_documents
 from hypergraph_spark.llm.simhash import drop_near_duplicates
-from hypergraph_spark.llm.toxicity import fit_toxicity, held_out, score_rows
+from hypergraph_spark.llm.toxicity import drop_toxic, fit_toxicity, held_out
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5; the model is fitted on the labels of ids that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels.where(~held_out(F.col("doc_id"))))
-    return score_rows(docs, model, *[c for c in docs.columns if c not in ("doc_id", "text")], text=True).where(F.col("score") < 0.5).select(*docs.columns)
+    return drop_toxic(docs, model, least=0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
