@@ -82,11 +82,11 @@ def test_pipeline_stages_on_hard_rows(spark, tmp_path):
     d = str(tmp_path)
     for name, rows, schema in (("labels", [(4, 0, 0)], "doc_id long, quality int, toxic int"), ("benchmark", [(1, word_salad(3, 20))], "item_id long, text string")):
         spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
-    for rows in (HARD, []):
-        df = docs(spark, rows)
+    for rows, clash in ((HARD, True), (HARD, False), ([], True)):
+        df = docs(spark, rows, clash)
         for name, stage in corpus_pipeline.STAGES[:-1]:
             df = stage(spark, df, d)
-            assert df.columns == docs(spark, []).columns, name
+            assert df.columns == docs(spark, [], clash).columns, name
         assert corpus_pipeline.STAGES[-1][1](spark, df, d).count() >= 0
 
 
