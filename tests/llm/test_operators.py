@@ -12,6 +12,7 @@ import xxhash
 from hypergraph_spark.llm import decontaminate as dc
 from hypergraph_spark.llm import fingerprints as fpr
 from hypergraph_spark.llm import html as ht
+from hypergraph_spark.llm import queries as llm_queries
 from hypergraph_spark.llm import suffix as sx
 from hypergraph_spark.llm.components import connected_components
 from hypergraph_spark.llm.lines import dedup_lines
@@ -615,6 +616,15 @@ def test_sweep_against_every_rule(spark):
     assert filter_urls(df.limit(0), unique).count() == 0 and filter_urls(df, []).where("verdict != 'allow'").count() == 0
 
 
+def test_url_rules_are_the_contract_s(spark, tmp_path):
+    urls = {"http://x.net/de/1": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"), "http://a.example.net/de/80": ("example.net/de/8", "block"), "http://b.com/en/7": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://c.org/es/": ("org/es/", "block"), "http://c.org/e": (None, "allow")}
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = llm_queries.op6_url_filters(spark, str(tmp_path)).collect()
+    assert [(r["rule"], r["verdict"]) for r in sorted(got, key=lambda r: r["page_id"])] == list(urls.values())
+    assert [(r.verdict, r.name) for r in llm_queries.RULES] == [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+    assert all(f"('{r.verdict}', '{r.host}', '{r.path}')" in llm_queries.ORACLE_SQL["op6_url_filters"] for r in llm_queries.RULES)
+
+
 def test_containment_against_exact_search(spark):
     items = [(i, word_salad(f"i{i}", n)) for i, n in enumerate([3, 5, 8, 20, 60, 200])]
     rows = []
