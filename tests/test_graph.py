@@ -345,3 +345,51 @@ def test_equal_vectors_tie_by_target_in_any_order(spark):
         emb = la.to_emb(spark, [ids[i] for i in at], x).coalesce(1)
         got = sim.similar_by_blocks(emb.where("entity_id = '059'"), emb, 5).orderBy("rank").collect()
         assert [r["target"] for r in got] == ids[:5]
+
+
+def test_best_targets_are_bounded_and_whole():
+    rng = np.random.default_rng(3)
+    s, ids = rng.integers(0, 9, (5000, 7)) / 8, np.array([f"e{i:04}" for i in range(5000)], object)
+    best = sim._Best([f"q{j}" for j in range(7)], 5)
+    most = 0
+    for lo in range(0, 5000, 250):
+        best.add(np.arange(7), s[lo : lo + 250].copy(), ids[lo : lo + 250])
+        most = max(most, best.held)
+    got = [(r["source"], r["target"], r["score"]) for b in best.batches() for r in b.to_pylist()]
+    assert got == [(f"q{j}", ids[i], s[i, j]) for j in range(7) for i in sorted(range(5000), key=lambda i: (-s[i, j], ids[i]))[:5]]
+    assert most <= 65_536 + 250 * 7
+
+
+def test_links_of_a_hub_ask_for_no_more(spark, monkeypatch):
+    """Existing links are left out while rows are scored, so the search's size does not follow the largest degree."""
+    asked, search = [], sim.similar_by_blocks
+    monkeypatch.setattr(sim, "similar_by_blocks", lambda q, x, k: asked.append(k) or search(q, x, k))
+    rng = np.random.default_rng(1)
+    x = {f"n{i}": rng.standard_normal(4) for i in range(30)}
+    g = graph_from_lines(lines(spark, *[f"n0 n{i}" for i in range(1, 25)], "n1 n2"), NODE)
+    got = [(r["source"], r["target"]) for r in sim.predict_links(g, la.to_emb(spark, list(x), np.array(list(x.values()))), 4).collect()]
+    assert asked == [4]
+    cos = lambda a, b: x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b])
+    linked = {("n0", f"n{i}") for i in range(1, 25)} | {("n1", "n2")}
+    new = [(a, b) for a in x for b in x if a != b and (a, b) not in linked and (b, a) not in linked]
+    assert got == sorted(new, key=lambda p: (-round(cos(*p), 12), p))[:4]
+
+
+def test_ball_tree_distances_need_no_cube():
+    """Centres to queries: memory of leaves x queries, not times dimensions."""
+    import tracemalloc
+
+    tree = sim.BallTree.__new__(sim.BallTree)
+    rng = np.random.default_rng(2)
+    tree.centres, q = rng.standard_normal((400, 64)), la.local_l2(rng.standard_normal((300, 64)))
+    tracemalloc.start()
+    away = tree._away(q)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * away.nbytes and np.allclose(away, np.linalg.norm(tree.centres[:, None] - q[None], axis=2))
+
+
+def test_pq_fits_on_a_bounded_sample_and_encodes_all(spark):
+    x = la.to_emb(spark, [f"e{i}" for i in range(300)], np.random.default_rng(5).standard_normal((300, 8)))
+    index = sim.product_quantize(x, 2, 16, 3, sample_rows=100)
+    assert index.codes.count() == 300 and index.codebooks.shape == (2, 16, 4)
