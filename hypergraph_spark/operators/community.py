@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hypergraph_spark.operators import linalg as la
 from hypergraph_spark.operators.embed import durable
-from hypergraph_spark.plans.graph import HyperGraph, adjacency
+from hypergraph_spark.plans.graph import HyperGraph, adjacency, half_adjacency, half_degrees
 
 
 def kmeans(emb: DataFrame, k: int, max_iterations: int = 100, seed: int = 42) -> DataFrame:
@@ -82,12 +82,12 @@ def louvain(graph: HyperGraph, resolution: float = 1.0, passes: int = 50, most_e
 
 def modularity(graph: HyperGraph, communities: DataFrame) -> DataFrame:
     """One row: over directed non-loop edges inside a community, the sum of 1 - d_i d_j / W, over W. Unknown entities are in community 0."""
-    adj = adjacency(graph)
-    deg = adj.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    info = deg.join(communities.select(F.col("entity_id").alias("src"), F.col("community").alias("c")), "src", "left").select("src", "d", F.coalesce("c", F.lit(0)).alias("c"))
-    j = adj.join(info, "src").join(info.select(F.col("src").alias("dst"), F.col("d").alias("e"), F.col("c").alias("k")), "dst")
-    w = adj.agg(F.count(F.lit(1)).alias("w"))
-    s = j.where(F.col("c") == F.col("k")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("d") * F.col("e")), F.lit(0)).alias("p"))
+    half = durable(half_adjacency(graph), "adj")
+    deg = half_degrees(half)
+    info = durable(deg.join(communities.select(F.col("entity_id").alias("src"), F.col("community").alias("c")), "src", "left").select("src", "d", F.coalesce("c", F.lit(0)).alias("c")), "info")
+    j = half.join(info, "src").join(info.select(F.col("src").alias("dst"), F.col("d").alias("e"), F.col("c").alias("k")), "dst")
+    w = info.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("w"))
+    s = j.where(F.col("c") == F.col("k")).agg((2 * F.count(F.lit(1))).alias("n"), F.coalesce(2 * F.sum(F.col("d") * F.col("e")), F.lit(0)).alias("p"))
     return s.crossJoin(w).select(F.when(F.col("w") > 0, (F.col("n") - F.col("p") / F.col("w")) / F.col("w")).otherwise(F.lit(0.0)).alias("modularity"))
 
 

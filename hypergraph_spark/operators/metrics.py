@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hypergraph_spark.operators import linalg as la
+from hypergraph_spark.operators.embed import durable
 
 
 def pair_scores(emb: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -29,12 +30,24 @@ def auc(scored: DataFrame) -> DataFrame:
 
 
 def ranking(scored: DataFrame, ks: tuple[int, ...] = (1, 3, 10, 50)) -> DataFrame:
-    """One row: MRR and hits@k of (query, score, positive); a positive's rank is one plus its query's negatives at or above it."""
-    pos = scored.where(F.col("positive") == 1).select("query", F.col("score").alias("s"))
-    neg = scored.where(F.col("positive") == 0).select("query", "score")
-    r = pos.withColumn("id", F.monotonically_increasing_id()).join(neg, "query", "left").groupBy("id").agg((1 + F.sum((F.col("score") >= F.col("s")).cast("int"))).alias("r"))
-    r = r.select(F.coalesce("r", F.lit(1)).alias("r"))
-    return r.agg(F.avg(1 / F.col("r")).alias("mrr"), *[F.avg((F.col("r") <= k).cast("double")).alias(f"hits_at_{k}") for k in ks])
+    """One row: MRR and hits@k of (query, score, positive); a positive's rank is one plus its query's negatives at or above it.
+
+    Distinct scores are put in order once, in ranges by query and score, and negatives are summed up inside each range
+    on top of the ranges before it: no pair of a positive and a negative is made, and no task holds a whole query.
+    """
+    g = scored.groupBy("query", "score").agg(F.sum((F.col("positive") == 1).cast("long")).alias("p"), F.sum((F.col("positive") == 0).cast("long")).alias("n"))
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = durable(g.repartitionByRange(parts, "query", F.desc("score")).withColumn("part", F.spark_partition_id()), "ranking")
+    before = Window.partitionBy("query").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = g.groupBy("query", "part").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0)))
+    upto = Window.partitionBy("query", "part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    r = g.withColumn("own", F.sum("n").over(upto)).where(F.col("p") > 0)
+    r = r.join(offsets.select(F.col("query").alias("q"), F.col("part").alias("t"), "before"), F.col("query").eqNullSafe(F.col("q")) & (F.col("part") == F.col("t")))
+    # A positive without a score or a query has no negative above it, and a negative without one is above none.
+    known = F.col("score").isNotNull() & F.col("query").isNotNull()
+    r = r.select("p", F.when(known, 1 + F.col("own") + F.col("before")).otherwise(F.lit(1)).alias("r"))
+    mean = lambda x: F.sum(x * F.col("p")) / F.sum("p")
+    return r.agg(mean(1 / F.col("r")).alias("mrr"), *[mean((F.col("r") <= k).cast("double")).alias(f"hits_at_{k}") for k in ks])
 
 
 def link_prediction_scores(emb: DataFrame, test: DataFrame, negative: DataFrame) -> dict:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hypergraph_spark.operators.embed import durable
 from hypergraph_spark.operators.stats import bfs, largest_component
-from hypergraph_spark.plans.graph import HyperGraph, adjacency, graph_from_lines
+from hypergraph_spark.plans.graph import HyperGraph, adjacency, graph_from_lines, half_adjacency, half_degrees
 
 
 def _tokens(c: str = "value") -> Column:
@@ -37,10 +37,10 @@ def filter_lines_by_degree(lines: DataFrame, min_degree: int | None = None, max_
 
 def filter_graph_by_degree(graph: HyperGraph, min_degree: int | None = None, max_degree: int | None = None) -> DataFrame:
     """(src, dst), src < dst, of the edges between entities whose degree lies in range."""
-    adj = adjacency(graph)
-    d = adj.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    ok = d.where((F.col("d") >= (min_degree or 0)) & (F.col("d") <= (max_degree if max_degree is not None else 2**62))).select("src")
-    return adj.where(F.col("src") < F.col("dst")).join(ok, "src", "left_semi").join(ok.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
+    half = durable(half_adjacency(graph), "adj")
+    d = half_degrees(half)
+    ok = durable(d.where((F.col("d") >= (min_degree or 0)) & (F.col("d") <= (max_degree if max_degree is not None else 2**62))).select("src"), "ok")
+    return half.join(ok, "src", "left_semi").join(ok.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
 
 
 def largest_connected_component(graph: HyperGraph, columns: str = "complex::reflexive::node", trim_n: int = 16) -> HyperGraph:
@@ -136,7 +136,7 @@ def train_test_split_edges(graph: HyperGraph, test_ratio: float = 0.2, seed: int
 
     The cut is found from bucket counts, so no task orders all edges.
     """
-    e = graph.edges.where(F.col("src") < F.col("dst")).select("src", "dst").withColumn("u", _draw(seed, "src", "dst")).withColumn("b", F.shiftrightunsigned("u", 52))
+    e = durable(half_adjacency(graph), "adj").withColumn("u", _draw(seed, "src", "dst")).withColumn("b", F.shiftrightunsigned("u", 52))
     e = e.withColumn("u", F.col("u").bitwiseAND((1 << 52) - 1))
     counts = e.groupBy("b").agg(F.count(F.lit(1)).alias("n"))  # 4096 buckets
     w = Window.orderBy("b")

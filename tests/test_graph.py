@@ -10,7 +10,7 @@ from hypergraph_spark.operators import linalg as la
 from hypergraph_spark.operators import preprocess as pre
 from hypergraph_spark.operators import similarity as sim
 from hypergraph_spark.operators import stats as st
-from hypergraph_spark.plans.graph import HyperGraph, graph_from_lines
+from hypergraph_spark.plans.graph import HyperGraph, build_graph, graph_from_lines, half_adjacency
 from hypergraph_spark.plans.spec import parse_spec, relations, single_relation
 from hypergraph_spark.sources import lines as src
 from hypergraph_spark.sources.generators import barabasi_albert, community_graph, erdos_renyi, planted_partition, watts_strogatz
@@ -393,3 +393,59 @@ def test_pq_fits_on_a_bounded_sample_and_encodes_all(spark):
     x = la.to_emb(spark, [f"e{i}" for i in range(300)], np.random.default_rng(5).standard_normal((300, 8)))
     index = sim.product_quantize(x, 2, 16, 3, sample_rows=100)
     assert index.codes.count() == 300 and index.codebooks.shape == (2, 16, 4)
+
+
+def test_trim_does_not_depend_on_the_order_tokens_are_collected_in(spark):
+    """Each evaluation may collect a hyperedge's tokens in another order."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("array<string>")
+    def dealt(v: pd.Series) -> pd.Series:
+        rng = np.random.default_rng()
+        return pd.Series([list(rng.permutation(x)) for x in v])
+
+    rows = [([f"t{(7 * i + k * k) % 23:02}" for k in range(9)],) for i in range(40)]
+    df = spark.createDataFrame(rows, "t array<string>")
+    want = {(r[0], r[1]): round(r[2], 9) for r in build_graph(df.select(F.col("t").alias("a"), F.col("t").alias("b")), NODE, 3).pairs().collect()}
+    loose = df.select(dealt.asNondeterministic()("t").alias("a"))
+    got = {(r[0], r[1]): round(r[2], 9) for r in build_graph(loose.select("a", F.col("a").alias("b")), NODE, 3).pairs().collect()}
+    assert got == want
+
+
+def test_half_pairs_hold_the_graph(spark):
+    """A reflexive graph sums each pair once: its plan has no more than half the pairs to shuffle, and both directions come out."""
+    g = graph_from_lines(lines(spark, "a b c a", "b d", "e"), NODE, 0)
+    both = {(r[0], r[1]): r[2] for r in g.pairs().collect()}
+    half = {(r[0], r[1]): r[2] for r in g.half_pairs().collect()}
+    assert g.half is not None and half == {k: v for k, v in both.items() if k[0] <= k[1]}
+    assert all(both[b, a] == v for (a, b), v in both.items()) and g.num_edges() == len(both)
+    assert both["a", "a"] == pytest.approx(2 * 4 / 16) and both["a", "c"] == pytest.approx(2 * 2 / 16)
+
+
+def test_triangles_without_wedges(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = {tuple(sorted(rng.sample(range(30), 2))) for _ in range(140)} | {(0, k) for k in range(1, 30)}
+    g = graph_from_lines(lines(spark, *[f"n{a} n{b}" for a, b in pairs]), NODE)
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(30)}
+    t = {f"n{i}": sum(1 for a in near[i] for b in near[i] if a < b and b in near[a]) for i in range(30)}
+    df = st.triangles(half_adjacency(g))
+    assert {r[0]: r[1] for r in df.collect()} == {k: v for k, v in t.items() if v}
+    c = [2 * t[f"n{i}"] / len(near[i]) / (len(near[i]) - 1) for i in range(30) if len(near[i]) > 1]
+    assert st.clustering_coefficient(g).first()[0] == pytest.approx(sum(c) / len(c))
+
+
+def test_ranking_makes_no_pairs(spark):
+    """Ranks with ties, queries without negatives or scores; no join of positives and negatives."""
+    import random
+
+    from hypergraph_spark.operators import metrics as me
+
+    rng = random.Random(6)
+    rows = [(q, rng.choice([None, *range(12)]), int(rng.random() < 0.4)) for q in (0, 1, 2) for _ in range(60)] + [(3, 1, 1), (None, 5, 1), (None, 6, 0)]
+    ranks = [1 + sum(1 for u, t, y in rows if y == 0 and u is not None and u == q and s is not None and t is not None and t >= s) for q, s, p in rows if p == 1]
+    out = me.ranking(spark.createDataFrame(rows, "query int, score double, positive int"), (1, 10))
+    got = out.first()
+    assert got["mrr"] == pytest.approx(np.mean([1 / r for r in ranks])) and got["hits_at_10"] == pytest.approx(np.mean([r <= 10 for r in ranks]))
