@@ -444,8 +444,36 @@ def test_ranking_makes_no_pairs(spark):
     from hypergraph_spark.operators import metrics as me
 
     rng = random.Random(6)
-    rows = [(q, rng.choice([None, *range(12)]), int(rng.random() < 0.4)) for q in (0, 1, 2) for _ in range(60)] + [(3, 1, 1), (None, 5, 1), (None, 6, 0)]
+    rows = [(q, rng.choice([None, *map(float, range(12))]), int(rng.random() < 0.4)) for q in (0, 1, 2) for _ in range(60)] + [(3, 1.0, 1), (None, 5.0, 1), (None, 6.0, 0)]
     ranks = [1 + sum(1 for u, t, y in rows if y == 0 and u is not None and u == q and s is not None and t is not None and t >= s) for q, s, p in rows if p == 1]
     out = me.ranking(spark.createDataFrame(rows, "query int, score double, positive int"), (1, 10))
     got = out.first()
     assert got["mrr"] == pytest.approx(np.mean([1 / r for r in ranks])) and got["hits_at_10"] == pytest.approx(np.mean([r <= 10 for r in ranks]))
+
+
+def test_betweenness_folds_branches(spark):
+    """A cycle with branches, an edge and a path; and no bound on what folds away."""
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "e"), ("e", "f"), ("e", "g"), ("b", "h"), ("x", "y"), ("p", "q"), ("q", "r"), ("r", "s"), ("s", "t")]
+    near: dict[str, set[str]] = {}
+    for x, y in pairs:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+
+    def paths(x, y):
+        front = [[x]]
+        while front:
+            done = [p for p in front if p[-1] == y]
+            if done:
+                return done
+            front = [[*p, z] for p in front for z in near[p[-1]] if z not in p]
+        return []
+
+    want = dict.fromkeys(near, 0.0)
+    for x in near:
+        for y in near:
+            if x < y and (found := paths(x, y)):
+                for p in found:
+                    for z in p[1:-1]:
+                        want[z] += 1 / len(found)
+    g = graph_from_lines(lines(spark, *[" ".join(p) for p in pairs]), NODE)
+    close({r[0]: r[1] for r in st.betweenness_centrality(g, None, most_nodes=4).collect()}, want)
