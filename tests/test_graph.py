@@ -477,3 +477,10 @@ def test_betweenness_folds_branches(spark):
                         want[z] += 1 / len(found)
     g = graph_from_lines(lines(spark, *[" ".join(p) for p in pairs]), NODE)
     close({r[0]: r[1] for r in st.betweenness_centrality(g, None, most_nodes=4).collect()}, want)
+
+
+def test_spmm_long_with_known_dims(spark):
+    e = spark.createDataFrame([("a", "b", 0.5), ("a", "c", 2.0), ("b", "a", 1.0)], "src string, dst string, w double")
+    x = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 3.0), ("b", 0, 4.0), ("c", 0, 5.0)], "entity_id string, dim int, x double")
+    got = lambda **k: sorted(map(tuple, la.spmm_long(e, x, "w", **k).collect()))
+    assert got(dims=2) == got() == [("a", 0, 12.0), ("b", 0, 1.0), ("b", 1, 3.0)]
