@@ -484,3 +484,37 @@ def test_spmm_long_with_known_dims(spark):
     x = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 3.0), ("b", 0, 4.0), ("c", 0, 5.0)], "entity_id string, dim int, x double")
     got = lambda **k: sorted(map(tuple, la.spmm_long(e, x, "w", **k).collect()))
     assert got(dims=2) == got() == [("a", 0, 12.0), ("b", 0, 1.0), ("b", 1, 3.0)]
+
+
+def test_walk_steps_join_few_rows_in_a_hub(spark):
+    """A hub of 500 neighbours of very unlike weights: every draw has one row, a bucket two on average."""
+    pairs = [("hub", f"l{i:03d}", 2.0 ** -(i % 40)) for i in range(500)] + [(f"l{i:03d}", "hub", 1.0) for i in range(500)]
+    nb = spark.createDataFrame(pairs, "src string, dst string, w double")
+    for by in (nb["w"] * 0 + 1, nb["w"]):
+        rows = alg.walk_table(nb, by, shares=True).collect()
+        hub = sorted((r["b"], r["lo"], r["hi"], r["dst"], r["share"]) for r in rows if r["src"] == "hub")
+        assert len(rows) <= 2 * len(pairs) and len({r["dst"] for r in rows}) == 501
+        ends = {b: 0.0 for b in range(500)}
+        for b, lo, hi, _, _ in hub:  # the rows of a bucket lie end to end, from 0 to 1
+            assert lo == ends[b] and hi > lo
+            ends[b] = hi
+        assert set(ends.values()) == {1.0}
+    total = sum(w for s, _, w in pairs if s == "hub")
+    for dst, w in (("l000", 1.0), ("l007", 2.0**-7)):
+        assert sum(hi - lo for _, lo, hi, d, _ in hub if d == dst) / 500 == pytest.approx(w / total)
+        assert all(s == pytest.approx(w / total) for _, _, _, d, s in hub if d == dst)
+
+
+def test_walks_follow_their_odds(spark):
+    """The second step of many walks, against the exact odds."""
+    g = graph_from_lines(lines(spark, *(["a b"] * 3), "a c", "b c", "b d", "b d", "d e"), NODE).cache()
+    w = {k: v for k, v in weights(g, "left_w").items() if k[0] != k[1]}
+    for p, q in ((1.0, 1.0), (0.5, 2.0), (0.1, 0.5)):
+        paths = [r["path"] for r in alg.random_walks(g, 3000, 3, p, q).collect()]
+        assert len(paths) == 15000
+        for start, mid in (("a", "b"), ("d", "b"), ("c", "a")):
+            seen = [x[2] for x in paths if x[:2] == [start, mid]]
+            odds = {d: (1.0 if p == q == 1 else v * (1 / p if d == start else 1.0 if (start, d) in w else 1 / q)) for (s, d), v in w.items() if s == mid}
+            assert set(seen) <= set(odds) and len(seen) > 500
+            for d, o in odds.items():
+                assert seen.count(d) / len(seen) == pytest.approx(o / sum(odds.values()), abs=0.07)
