@@ -518,3 +518,30 @@ def test_walks_follow_their_odds(spark):
             assert set(seen) <= set(odds) and len(seen) > 500
             for d, o in odds.items():
                 assert seen.count(d) / len(seen) == pytest.approx(o / sum(odds.values()), abs=0.07)
+
+
+def test_twins_stand_for_each_other(spark):
+    """Five classes of users, four of them many: operators of one of each against dense ones of all."""
+    events = [(f"u{i:02d}", e) for i in range(40) for e in [["a"], ["a", "a", "b"], ["b", "c"], ["a", "b", "c", "c"]][i % 4]] + [("x", "c")] * 3
+    t = spark.createDataFrame([([u], [e]) for u, e in events], "a array<string>, b array<string>")
+    g = build_graph(t, "user event", 0)
+    got = {r[0]: r[1] for r in alg.twins(g).collect()}
+    assert len(got) == 44 and len(set(got.values())) == 8 and got["u06"] == "u02" and got["x"] == "x"
+    ids = sorted(got)
+    m = np.zeros((44, 44))
+    for (s, d), w in weights(g, "left_w").items():
+        m[ids.index(s), ids.index(d)] = w
+    by = alg.Quotient(g, 8)
+    cells = by.cells(alg.left_markov(g))
+    x = np.random.default_rng(0).standard_normal((44, 3))
+    for op in (by.operator(cells), by.operator(cells).fetch()):
+        assert np.allclose(op.dot(x), m @ x) and np.allclose(op.t_dot(x), m.T @ x) and len(op.ids) == 8
+        op.close()
+    p2 = (m + m @ m) / 2
+    net = np.log(np.maximum(m.sum() * p2 / m.sum(1)[:, None] * m.sum(1)[None, :], 1))
+    logs = [np.log(np.maximum(p, 1e-10)) - np.log(1e-10) for p in (m, m @ m)]
+    svd = lambda a, k: (lambda u, s, _: u * np.sqrt(s))(*la.randomized_svd(lambda z: a @ z, lambda z: a.T @ z, 44, k))
+    for emb, want in ((alg.embed_netmf(g, 4, 2), svd(net, 4)), (alg.embed_grarep(g, 4, 2), np.hstack([svd(a, 2) for a in logs]))):
+        at, v = la.to_local(emb)
+        assert at == ids and np.allclose(v, la.local_l2(want), atol=1e-6)
+    assert la.to_local(alg.embed_hope(g, 8))[1].shape == (44, 8)
