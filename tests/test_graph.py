@@ -545,3 +545,28 @@ def test_twins_stand_for_each_other(spark):
         at, v = la.to_local(emb)
         assert at == ids and np.allclose(v, la.local_l2(want), atol=1e-6)
     assert la.to_local(alg.embed_hope(g, 8))[1].shape == (44, 8)
+
+
+def test_metapath_steps_move_lists(spark, monkeypatch):
+    """Ends by pairs as a plain join has them: ids of several types, long lists, repeats, a missing id, a self-pair."""
+    from hypergraph_spark.operators import hetero
+
+    monkeypatch.setattr(hetero, "LIST_ENDS", 8)
+    rng = np.random.default_rng(3)
+    ab = [(int(a), int(b)) for a, b in rng.integers(0, 40, (300, 2))] + [(7, None), (None, 3)]
+    bc = [(int(b), int(c)) for b, c in rng.integers(0, 60, (300, 2))] + [(5, c) for c in range(60)] + [(3, None), (None, 2**40)]
+    ca = [(int(c), int(a)) for c, a in rng.integers(0, 60, (300, 2))]
+    name = lambda t, x: t if x is None else f"{t}_{x}"
+    step = lambda pairs, nxt: {(s, e) for s, d in pairs for m, e in nxt if d == m}
+    p = {(name("a", s), name("b", d)) for s, d in ab}
+    p = step(p, {(name("b", s), name("c", d)) for s, d in bc})
+    q = {x for x in step(p, {(name("c", s), name("a", d)) for s, d in ca}) if x[0] != x[1]}
+    for mid in ("bigint", "int", "string"):
+        g = hetero.HeteroGraph().add_edge_type("ab", "a", "b", spark.createDataFrame(ab, "src bigint, dst bigint"))
+        g.add_edge_type("bc", "b", "c", spark.createDataFrame(bc, "src bigint, dst bigint").selectExpr(f"cast(src as {mid}) src", "dst"))
+        g.add_edge_type("ca", "c", "a", spark.createDataFrame(ca, "src bigint, dst bigint"))
+        for path, want in ((["ab", "bc"], p), (["ab", "bc", "ca"], q)):
+            got = [tuple(r) for r in g.metapath_pairs(path).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    plan = g.metapath_pairs(["ab", "bc"])._jdf.queryExecution().executedPlan().toString()
+    assert "ends" in plan  # lists go through the exchange, not pairs
