@@ -176,19 +176,35 @@ def build_graph(hyper: DataFrame, columns: str, trim_n: int = 16, normalizer: st
     if reflexive:
         half = summed.select(F.col("x").alias("src"), F.col("y").alias("dst"), (F.col("value") * 2).alias("value"))
         edges = mirrored(half)
-        return HyperGraph(entities, with_weights(edges, entities, normalizer), columns, edges, half)
+        weighted = mirrored(half_weights(half, entities), True) if normalizer == "reference" else with_weights(edges, entities, normalizer)
+        return HyperGraph(entities, weighted, columns, edges, half)
     there = summed.select(F.col("x").alias("src"), F.col("y").alias("dst"), "value")
     edges = there.unionByName(summed.select(F.col("y").alias("src"), F.col("x").alias("dst"), "value")).groupBy("src", "dst").agg(F.sum("value").alias("value"))
     return HyperGraph(entities, with_weights(edges, entities, normalizer), columns, edges)
 
 
-def mirrored(half: DataFrame) -> DataFrame:
-    """Both directions of (src, dst, value) rows that hold each pair once, a self-loop once; made inside the row."""
-    row = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.col("value"))
-    both = F.when(F.col("src") == F.col("dst"), F.array(row("src", "dst"))).otherwise(F.array(row("src", "dst"), row("dst", "src")))
+def mirrored(half: DataFrame, weights: bool = False) -> DataFrame:
+    """Both directions of (src, dst, value) rows that hold each pair once, a self-loop once; made inside the row.
+
+    With weights the rows have rs and rd, the row sums of src and dst, and get left_w and sym_w.
+    """
+    sym = F.col("value") / F.sqrt(F.col("rs") * F.col("rd"))
+
+    def row(a: str, b: str, s: str) -> Column:
+        more = [(F.col("value") / F.col(s)).alias("left_w"), sym.alias("sym_w")] if weights else []
+        return F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.col("value"), *more)
+
+    both = F.when(F.col("src") == F.col("dst"), F.array(row("src", "dst", "rs"))).otherwise(F.array(row("src", "dst", "rs"), row("dst", "src", "rd")))
     return half.select(F.explode(both).alias("e")).select("e.*")
 
 
+def half_weights(half: DataFrame, entities: DataFrame) -> DataFrame:
+    """(src, dst, value, rs, rd): half with both ends' row sums, joined before the other direction is made: half the rows in both joins."""
+    s = entities.select(F.col("entity_id").alias("src"), F.col("row_sum").alias("rs"))
+    d = entities.select(F.col("entity_id").alias("dst"), F.col("row_sum").alias("rd"))
+    return half.join(s, "src").join(d, "dst").select("src", "dst", "value", "rs", "rd")
+
+
 def with_weights(edges: DataFrame, entities: DataFrame, normalizer: str = "reference") -> DataFrame:
     """edges with left_w = value / row_sum(src) and sym_w = value / sqrt(row_sum(src) row_sum(dst))."""
     if normalizer not in ("reference", "stochastic"):
@@ -251,7 +267,17 @@ def legacy_relations(cells: DataFrame, columns: str, prepend_field: bool = True)
         x = kept.select(F.explode(F.col("cells")[i]).alias("x"), F.col("cells")[j].alias("other"), total.alias("total"), F.size(F.col("cells")[i]).alias("ni"), F.size(F.col("cells")[j]).alias("nj"))
         pair = x.select("x", F.explode("other").alias("y"), (1 / (F.col("ni") * F.col("nj"))).alias("v"), (F.col("total") / (F.col("ni") * F.col("nj"))).alias("occ"))
         pair = pair.select(name(i, "x").alias("x"), name(j, "y").alias("y"), "v", "occ")
-        one = pair.unionByName(pair.select(F.col("y").alias("x"), F.col("x").alias("y"), "v", "occ")).groupBy("x", "y").agg(F.sum("v").alias("value"), F.sum("occ").alias("occ"))
+        salts = [spec[k].name + "__" if prepend_field else "" for k in (i, j)]
+        if not (salts[0].startswith(salts[1]) or salts[1].startswith(salts[0])):  # no name is on both sides
+            once = pair.groupBy("x", "y").agg(F.sum("v").alias("value"), F.sum("occ").alias("occ"))
+        else:  # the lesser end first, none before any; a loop counts for both directions
+            swap = F.coalesce(F.col("y") < F.col("x"), F.col("y").isNull() & F.col("x").isNotNull())
+            k = F.when(F.col("x").eqNullSafe(F.col("y")), 2.0).otherwise(1.0)
+            once = pair.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"), (k * F.col("v")).alias("v"), (k * F.col("occ")).alias("occ"))
+            once = once.groupBy("x", "y").agg(F.sum("v").alias("value"), F.sum("occ").alias("occ"))
+        way = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"), F.col("value"), F.col("occ"))
+        both = F.when(F.col("x").eqNullSafe(F.col("y")), F.array(way("x", "y"))).otherwise(F.array(way("x", "y"), way("y", "x")))
+        one = once.select(F.explode(both).alias("e")).select("e.*")
         sums = one.groupBy("x").agg(F.sum("value").alias("s"), F.sum("occ").alias("occurrence"))
         one = one.drop("occ").join(sums, "x").select(F.lit(f"{spec[i].name}__{spec[j].name}").alias("relation"), F.col("x").alias("src"), F.col("y").alias("dst"), "value", (F.col("value") / F.col("s")).alias("weight"), F.col("occurrence").cast("long").alias("occurrence"))
         out = one if out is None else out.unionByName(one)

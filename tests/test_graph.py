@@ -570,3 +570,40 @@ def test_metapath_steps_move_lists(spark, monkeypatch):
             assert len(got) == len(set(got)) and set(got) == want
     plan = g.metapath_pairs(["ab", "bc"])._jdf.queryExecution().executedPlan().toString()
     assert "ends" in plan  # lists go through the exchange, not pairs
+
+
+def test_pairs_are_mirrored_after_sums_and_weights(spark):
+    """Joins and sums see a pair once; the other direction is made last. Names on both sides, loops and missing tokens count as before."""
+    from hypergraph_spark.plans.graph import legacy_relations
+
+    g = graph_from_lines(lines(spark, "a b", "a c c", "a b c", "d"), NODE)
+    plan = g.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and plan.index("Generate") < plan.index("Join")  # the outermost step first
+    sums = {r[0]: r[1] for r in g.degrees().collect()}
+    for r in g.edges.collect():
+        assert r["left_w"] == pytest.approx(r["value"] / sums[r["src"]]) and r["sym_w"] == pytest.approx(r["value"] / (sums[r["src"]] * sums[r["dst"]]) ** 0.5)
+    data = [[["p", "q"], ["b__x", "p"], ["x", "y"]], [["q"], ["b__x"], ["x", "p", "x"]], [["p", None], ["p"], ["y"]]]
+    cells = spark.createDataFrame([(c,) for c in data], "cells array<array<string>>")
+    spec = "complex::reflexive::r complex::a complex::a__b"
+    for salted in (True, False):
+        want: dict = {}
+        names = ["r", "a", "a__b"]
+        for i, j in ((0, 1), (0, 2), (1, 2), (0, 0)):
+            for c in data:
+                total = len(c[0]) ** 2 * len(c[1]) * len(c[2])
+                for x in c[i]:
+                    for y in c[j]:
+                        x_, y_ = [t if t is None or not salted else f"{names[k]}__{t}" for k, t in ((i, x), (j, y))]
+                        for s, d in ((x_, y_), (y_, x_)):
+                            if s is not None:
+                                v = want.setdefault((f"{names[i]}__{names[j]}", s, d), [0.0, 0.0])
+                                v[0] += 1 / (len(c[i]) * len(c[j]))
+                                v[1] += total / (len(c[i]) * len(c[j]))
+        got = {(r["relation"], r["src"], r["dst"]): r for r in legacy_relations(cells, spec, salted).collect()}
+        assert set(got) == set(want)
+        for (n, s, d), (v, _) in want.items():
+            own = [w for (m, a, _), w in want.items() if (m, a) == (n, s)]
+            r = got[n, s, d]
+            assert r["value"] == pytest.approx(v) and r["weight"] == pytest.approx(v / sum(w[0] for w in own)) and r["occurrence"] == round(sum(w[1] for w in own))
+    plan = legacy_relations(cells, "r a__b")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
