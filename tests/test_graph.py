@@ -607,3 +607,24 @@ def test_pairs_are_mirrored_after_sums_and_weights(spark):
             assert r["value"] == pytest.approx(v) and r["weight"] == pytest.approx(v / sum(w[0] for w in own)) and r["occurrence"] == round(sum(w[1] for w in own))
     plan = legacy_relations(cells, "r a__b")._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
+
+
+def test_embed_brings_neither_first_nor_last_vectors_to_the_driver(spark, monkeypatch):
+    g = graph_from_lines(lines(spark, "a b", "b c d", "d e", "a e f", "f g", "z"), NODE).cache()
+    rounds = []
+    dot = la.SparseOperator.dot
+    monkeypatch.setattr(la.SparseOperator, "dot", lambda self, x: rounds.append(1) or dot(self, x))
+    for white in (False, True):
+        want = la.to_local(em.embed(g, 3, 3, whiten=white, callback=lambda i, m: None))
+        assert len(rounds) == 3
+        rounds.clear()
+        with monkeypatch.context() as m:
+            m.setattr(la, "to_local", None)
+            m.setattr(la, "to_emb", None)
+            out = em.embed(g, 3, 3, whiten=white)
+        got = la.to_local(out)
+        assert len(rounds) == 2 and got[0] == want[0] and np.allclose(got[1], want[1], atol=1e-9)
+        rounds.clear()
+    loose = la.to_local(em.embed(g, 3, 1, edges=g.edges.where("src <> 'z'"), whiten=False))
+    assert loose[0][-1] == "z" and not loose[1][-1].any()
+    assert em.embed(g, 3, 0).count() == 8
